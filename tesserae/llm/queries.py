@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, media, mixing
+from . import archives, chat, langid, media, mixing, pieces, pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": media.op1_media_columns,
     "op2_chat_formatting": chat.op2_chat_formatting,
+    "op3_language_id": langid.op3_language_id,
+    "op4_sentencepiece": pieces.op4_sentencepiece,
+    "op7_warc": archives.op7_warc,
+    "op8_personal_data": pii.op8_personal_data,
     "op10_source_mixing": mixing.op10_source_mixing,
 }
-SQL: dict[str, str] = {"op2_chat_formatting": chat.OP2_SQL, "op10_source_mixing": mixing.OP10_SQL}
+SQL: dict[str, str] = {
+    "op2_chat_formatting": chat.OP2_SQL,
+    "op7_warc": archives.OP7_SQL,
+    "op10_source_mixing": mixing.OP10_SQL,
+}
