@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -83,13 +84,12 @@ class Encoder:
         self.vocab, self.remembered = vocab, remembered
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        trie: dict = {}
+        self.trie: list = [{}, None]  # what follows by character, and the piece that ends here
         for piece, value in vocab.pieces.items():
-            node = trie
+            node = self.trie
             for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = value
-        self.trie = trie
+                node = node[0].setdefault(c, [{}, None])
+            node[1] = value
 
     def fall_back(self, char: str) -> list[int]:
         return [self.vocab.byte_ids[b] for b in char.encode()] if self.vocab.byte_ids else [self.vocab.unknown]
@@ -117,9 +117,9 @@ class Encoder:
             here = best[i]
             node, j, single = trie, i, False
             if i not in literal:
-                while j < n and j not in literal and (node := node.get(marked[j])) is not None:
+                while j < n and j not in literal and (node := node[0].get(marked[j])) is not None:
                     j += 1
-                    if (value := node.get("")) is not None:
+                    if (value := node[1]) is not None:
                         single |= j == i + 1
                         score = here + value[1]
                         if j not in best or score > best[j]:
@@ -140,6 +140,41 @@ class Encoder:
                     done = meet
         return out
 
+    def search_window(self, marked: str) -> list[int]:
+        """``search`` where the whole of ``marked`` lies in one window: one commitment, at its end."""
+        n, trie, missing = len(marked), self.trie[0], self.vocab.unknown_score
+        best, back, piece = [-1e300] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best[0] = 0.0
+        for i in range(n):
+            here, follow, j = best[i], trie, i
+            node = follow.get(marked[i])
+            if node is None or node[1] is None:
+                if here + missing > best[i + 1]:
+                    best[i + 1], back[i + 1], piece[i + 1] = here + missing, i, -1
+            while node is not None:
+                j += 1
+                value = node[1]
+                if value is not None:
+                    score = here + value[1]
+                    if score > best[j]:
+                        best[j] = score
+                        back[j] = i
+                        piece[j] = value[0]
+                if j == n:
+                    break
+                node = node[0].get(marked[j])
+        out: list[int] = []
+        at = n
+        while at:
+            start = back[at]
+            if piece[at] >= 0:
+                out.append(piece[at])
+            else:
+                out.extend(reversed(self.fall_back(marked[start])))
+            at = start
+        out.reverse()
+        return out
+
     @staticmethod
     def _meeting(best: dict[int, float], back: dict[int, tuple[int, int]], now: int, done: int) -> int:
         """The last boundary that the paths to all live boundaries (from now on) share."""
@@ -156,37 +191,63 @@ class Encoder:
         if not self.vocab.marks_lead:
             own = frozenset(m.start() + 1 for m in re.finditer(MARK, text))
             return np.array(self.search(MARK + text.replace(" ", MARK), own), np.int32).tobytes()
-        young, old = self.young, self.old
-        out: list[bytes] = []
-        pending = 0  # spaces before the next run
-        for run in text.split(" "):
-            pending += 1
-            if run:
-                key = run if pending == 1 else " " * (pending - 1) + run
-                pending = 0
-                ids = young.get(key)
-                if ids is None:
-                    ids = old.get(key)
-                    if ids is None:
-                        marks = len(key) - len(run) + 1
-                        own = frozenset(m.start() + marks for m in re.finditer(MARK, run))
-                        ids = np.array(self.search(MARK * marks + run, own), np.int32).tobytes()
-                    if len(key) <= 64:
-                        if len(young) >= self.remembered:
-                            self.old = old = young
-                            self.young = young = {}
-                        young[key] = ids
-                out.append(ids)
-        if pending:
-            out.append(np.array(self.search(MARK * pending), np.int32).tobytes())
-        return b"".join(out)
-
-
-def decode(vocab: Vocabulary, ids: np.ndarray) -> str:
-    """The text of ids, without the space put in front; unknown ids give U+FFFD."""
-    texts = vocab.texts
-    text = b"".join([texts.get(i, b"\xef\xbf\xbd") for i in ids.tolist()]).decode("utf-8", "replace")
-    return text[1:] if text.startswith(" ") else text
+        runs = text.split(" ")
+        if "" in runs:  # spaces side by side or at an end: they go with the run behind them
+            joined, spaces = [], ""
+            for run in runs:
+                if run:
+                    joined.append(spaces + run)
+                    spaces = ""
+                else:
+                    spaces += " "
+            runs, rest = joined, MARK * len(spaces)
+        else:
+            rest = ""
+        found = list(map(self.young.get, runs))
+        if None in found:
+            found = [self._learn(run) if ids is None else ids for run, ids in zip(runs, found, strict=True)]
+        if rest:
+            found.append(array("i", self.search(rest)).tobytes())
+        return b"".join(found)
+
+    def _learn(self, run: str) -> bytes:
+        """The ids of a run (and spaces before it), remembered if it is short."""
+        ids = self.young.get(run)
+        if ids is None:
+            ids = self.old.get(run)
+        if ids is None:
+            marked = MARK + run.replace(" ", MARK)
+            if len(marked) <= 2 * self.vocab.longest and MARK not in run:
+                ids = array("i", self.search_window(marked)).tobytes()
+            else:
+                ids = array("i", self.search(marked, frozenset(m.start() + 1 for m in re.finditer(MARK, run)))).tobytes()
+        if len(run) <= 64:
+            if len(self.young) >= self.remembered:
+                self.old, self.young = self.young, {}
+            self.young[run] = ids
+        return ids
+
+
+class Decoder:
+    """Joins the bytes of pieces by one gather for many documents."""
+
+    def __init__(self, vocab: Vocabulary):
+        top = max(vocab.texts, default=0) + 2
+        known = [vocab.texts.get(i, b"\xef\xbf\xbd") for i in range(top)]
+        self.size = np.array([len(x) for x in known])
+        self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]])
+        self.flat = np.frombuffer(b"".join(known), np.uint8)
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The texts of ``ids[offsets[k]:offsets[k + 1]]`` without the space put in front; unknown ids give U+FFFD."""
+        ids = np.where((ids < 0) | (ids >= len(self.size)), len(self.size) - 1, ids)
+        size = self.size[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        place = np.repeat(self.start[ids] - ends[:-1], size) + np.arange(ends[-1])
+        data = self.flat[place].tobytes()
+        bounds = ends[offsets].tolist()
+        texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(bounds, bounds[1:], strict=False)]
+        return [x[1:] if x.startswith(" ") else x for x in texts]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -237,23 +298,26 @@ def decode_ids(df: DataFrame, path: str = MODEL) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = shared.value
+        decoder = Decoder(shared.value)
         for batch in batches:
             lists = batch.column(1)
             values = lists.values.to_numpy(zero_copy_only=False)
             offsets = lists.offsets.to_numpy()
-            step = max(1, min(len(lists), 512))
-            for a in range(0, len(lists), step):
-                own = [values[offsets[i] : offsets[i + 1]] for i in range(a, min(a + step, len(lists)))]
+            a = 0
+            while a < len(lists):  # about half a million ids at once
+                b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + (1 << 19), "right")) - 1)
+                cuts = offsets[a : b + 1] - offsets[a]
+                ids = values[offsets[a] : offsets[b]].astype("<i4")
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0)[a : a + step],
-                        pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in own], pa.string()),
-                        pa.array([len(x) for x in own], pa.int64()),
-                        pa.array([decode(vocab, x) for x in own], pa.string()),
+                        batch.column(0)[a:b],
+                        pa.array([hashlib.sha256(ids[x:y].tobytes()).hexdigest() for x, y in zip(cuts, cuts[1:], strict=False)], pa.string()),
+                        pa.array(np.diff(cuts), pa.int64()),
+                        pa.array(decoder.decode(ids, cuts), pa.string()),
                     ],
                     ["doc_id", "ids_sha256", "n_ids", "text"],
                 )
+                a = b
 
     return df.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids_sha256 string, n_ids long, text string")
 
