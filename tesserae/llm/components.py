@@ -1,0 +1,34 @@
+"""Connected components of an edge table, by contraction; nothing is collected."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import saved
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node, component`` for every node of ``edges`` (a, b); the component is its smallest node.
+
+    In each round every node is replaced by the smallest among itself and its neighbours, until no edge is left
+    between different nodes. Edges shrink at each round, each is written to the shared folder, and minima have partial
+    aggregates, so a node with very many neighbours costs a row for each task.
+    """
+    edges = saved(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
+    labels = None
+    while not edges.isEmpty():
+        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        step = saved(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("to")), "cc-step")
+        if labels is None:
+            labels = step.select(F.col("a").alias("node"), F.col("to").alias("component"))
+        else:
+            moved = step.select(F.col("a").alias("component"), "to")
+            labels = labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+            labels = saved(labels, "cc-labels")
+        first = edges.join(step.withColumnRenamed("to", "c"), "a").select("b", "c")
+        second = first.join(step.select(F.col("a").alias("b"), "to"), "b").select(F.least("c", "to").alias("a"), F.greatest("c", "to").alias("b"))
+        edges = saved(second.filter("a <> b").distinct(), "cc-edges")
+    if labels is None:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return labels
