@@ -49,7 +49,7 @@ class Anchors:
 
     def __init__(self, column: pa.Array, bits: int):
         self.data, self.start, self.end = joined(column)
-        self.p = prefixes(self.data)
+        p = prefixes(self.data)
         count = len(self.data) - GRAM + 1
         empty = np.empty(0, np.int64)
         self.place = self.doc = self.low = self.high = empty
@@ -57,7 +57,7 @@ class Anchors:
         if count < REACH + 1:
             return
         here = np.arange(count)
-        h = mix(between(self.p, here, here + GRAM))
+        h = mix(between(p, here, here + GRAM))
         least = _slide(h, REACH + 1, np.minimum)  # of the grams of the string that starts here
         doc = np.repeat(np.arange(len(self.start)), self.end - self.start)
         inside = doc[: len(least)] == doc[LENGTH - 1 : LENGTH - 1 + len(least)]
@@ -73,7 +73,7 @@ class Anchors:
         self.high = np.minimum(self.end[self.doc], self.place + LENGTH)
         self.a = h[self.place] >> np.uint64(64 - bits)
         shape = ((self.place - self.low) * 64 + (self.high - self.place)).astype(np.uint64)
-        self.f = mix(between(self.p, self.low, self.high) + shape * np.uint64(0xD6E8FEB86659FD93))
+        self.f = mix(between(p, self.low, self.high) + shape * np.uint64(0xD6E8FEB86659FD93))
 
 
 def _smallest(f: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,28 +152,34 @@ class Suffixes:
         x, y = self.data[np.minimum(self.start[i] + n, last)], self.data[np.minimum(self.start[j] + n, last)]
         return np.where(ended & ended2, i < j, np.where(ended | ended2, ended, x < y))
 
-    def sort(self) -> np.ndarray:
-        """Merge sort from the bottom: places in a merged run are found by binary search among the other's strings."""
-        n = len(self.size)
-        order, width = np.arange(n), 1
-        while width < n:
-            place = np.arange(n)
-            pair = place // (2 * width) * (2 * width)
-            left = place - pair < width
-            other = np.where(left, np.minimum(pair + width, n), pair)
-            low, high = other.copy(), np.where(left, np.minimum(pair + 2 * width, n), np.minimum(pair + width, n))
-            while len(live := np.flatnonzero(low < high)):
-                mid = (low[live] + high[live]) >> 1
-                less = self.before(order[mid], order[live])
-                low[live], high[live] = np.where(less, mid + 1, low[live]), np.where(less, high[live], mid)
-            rank = np.where(left, place, place - width) + low - other
-            merged = np.empty(n, np.int64)
-            merged[rank] = order
+    def sort(self, group: np.ndarray) -> np.ndarray:
+        """Merge sort within each group, from the bottom: places in a merged run are found by binary search in the other."""
+        n, width = len(self.size), 1
+        order = np.argsort(group, kind="stable")
+        begins = np.concatenate([[True], group[order][1:] != group[order][:-1]])
+        first = np.flatnonzero(begins)
+        lot = np.cumsum(begins) - 1
+        start, end = first[lot], np.append(first, n)[1:][lot]
+        at = np.arange(n)
+        live = at[end - start > 1]
+        while len(live):
+            base = start[live] + (live - start[live]) // (2 * width) * (2 * width)
+            middle, stop = np.minimum(base + width, end[live]), np.minimum(base + 2 * width, end[live])
+            left = live < middle
+            other = np.where(left, middle, base)
+            low, high = other.copy(), np.where(left, stop, middle)
+            while len(open_ := np.flatnonzero(low < high)):
+                mid = (low[open_] + high[open_]) >> 1
+                less = self.before(order[mid], order[live[open_]])
+                low[open_], high[open_] = np.where(less, mid + 1, low[open_]), np.where(less, high[open_], mid)
+            merged = order.copy()
+            merged[np.where(left, live, live - (middle - base)) + low - other] = order[live]
             order, width = merged, width * 2
+            live = live[end[live] - start[live] > width]
         return order
 
-    def verified(self, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The order, checked by bytes, with the common extension of each string and the one before it."""
+    def verified(self, order: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order in each group, checked by bytes, with the common extension of each string and the one before it."""
         rows = np.zeros((len(order), LENGTH), np.int16)
         column = np.arange(LENGTH)
         inside = column < self.size[:, None]
@@ -188,16 +194,19 @@ class Suffixes:
         rises = rows[order[1:]], rows[order[:-1]]
         at = np.minimum(got[1:], LENGTH - 1)[:, None]
         up, down = np.take_along_axis(rises[0], at, 1)[:, 0], np.take_along_axis(rises[1], at, 1)[:, 0]
-        if (up < down).any():  # a collision of hashes: by bytes instead
+        if ((up < down) & (group[order[1:]] == group[order[:-1]])).any():  # a collision of hashes: by bytes instead
             order = np.lexsort(rows.T[::-1])
             got = shared(order)
         return order, got
 
 
-def smallest_owner(before: list[bytes], behind: list[bytes], ids: np.ndarray) -> np.ndarray:
-    """For each context the strings (bit j: beginning j bytes before the anchor) that a smaller id also has."""
+def smallest_owner(before: list[bytes], behind: list[bytes], ids: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+    """For each context the strings (bit j: beginning j bytes before the anchor) that a smaller id also has.
+
+    Only contexts with one of ``anchors`` in common can share a string, so each anchor's suffixes are sorted by themselves.
+    """
     suffixes = Suffixes(behind)
-    order, common = suffixes.verified(suffixes.sort())
+    order, common = suffixes.verified(suffixes.sort(anchors), anchors)
     ids, left = ids[order], [before[i] for i in order]
     lead, tail = np.array([len(x) for x in left], np.int64), suffixes.size[order]
     flat = np.frombuffer(b"".join(left), np.uint8)
@@ -233,7 +242,7 @@ def smallest_owner(before: list[bytes], behind: list[bytes], ids: np.ndarray) ->
 
 def _sorted_bucket(bucket: pa.Table) -> pa.Table:
     ids, f = bucket["doc"].to_numpy(), bucket["f"].to_numpy()
-    mask = smallest_owner(bucket["before"].to_pylist(), bucket["from"].to_pylist(), ids)
+    mask = smallest_owner(bucket["before"].to_pylist(), bucket["from"].to_pylist(), ids, bucket["a"].to_numpy())
     own = mask != 0
     return pa.table({"f": f[own], "doc": ids[own], "mask": mask[own]})
 
@@ -244,13 +253,11 @@ def _removed(bits: int, keep_text: bool):
         f, lowest, mask = (found[c].to_numpy() for c in ("f", "doc", "mask"))
         order = np.argsort(f, kind="stable")
         f, lowest, mask = f[order], lowest[order], mask[order]
-        own_f, own_min = [], []
-        for ids, x in _scan(block, bits):
-            own_f.append(x.f.view(np.int64))
-            own_min.append(ids[x.doc])
+        scans = list(_scan(block, bits))
+        own_f, own_min = [x.f.view(np.int64) for _, x in scans], [ids[x.doc] for ids, x in scans]
         own_f, own_min, _ = _smallest(np.concatenate([np.empty(0, np.int64), *own_f]), np.concatenate([np.empty(0, np.int64), *own_min]))
         rows = []
-        for ids, x in _scan(block, bits):
+        for ids, x in scans:
             cover = np.zeros(len(x.data) + 1, np.int32)
             if len(x.place):
                 mine, here = x.f.view(np.int64), ids[x.doc]
