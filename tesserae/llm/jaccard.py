@@ -32,7 +32,8 @@ from .components import components
 from .rolling import BASE, between, joined, mix, powers, prefixes, slices
 
 HOT_TOKENS, HOT_SHARE, HOT_LEAST = 65_536, 0.002, 64
-BLOCK, LEAF = 2_048, 8
+BLOCK, LEAF = 4_096, 64
+BUCKET_ROWS, SAMPLED = 100_000, 4  # rows in one task's group; one shingle in four is in a tree's bitmaps
 FILTER_BITS = 1 << 24
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -87,6 +88,12 @@ def fold(bits: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_or.reduce(bits.reshape(*bits.shape[:-1], -1, words), axis=-2)
 
 
+def sampled_bitmap(own: np.ndarray) -> np.ndarray:
+    """``bitmap`` of every fourth shingle by hash: what the trees carry. A shingle missed in the sample is missed in the
+    whole, so bounds on the overlap hold."""
+    return bitmap(own[mix(own) >> np.uint64(62) == 0])
+
+
 def may_link(a: np.ndarray, na: int, b: np.ndarray, nb: int, num: int, den: int) -> bool:
     """Whether bitmaps and sizes allow two sets to link."""
     if den * min(na, nb) < num * max(na, nb):
@@ -174,12 +181,12 @@ def _describe(k: int, num: int, den: int, hot):
                         at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
                         late = frequent[at] == own
                         prefix = np.concatenate([own[~late][:lead], own[late]])[:lead]
-                    rows.append((n, hashlib.blake2b(own.tobytes(), digest_size=16).digest(), prefix.view(np.int64), bitmap(own).tobytes() if n else b""))
+                    rows.append((n, hashlib.blake2b(own.tobytes(), digest_size=16).digest(), prefix.view(np.int64), bitmap(own).tobytes() if n else b"", sampled_bitmap(own).tobytes() if n else b""))
                 cols = list(zip(*rows, strict=True))
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in cols[2]])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(cols[2]))), pa.array(cols[3], pa.binary())],
-                    ["doc_id", "n", "digest", "prefix", "bits"],
+                    [batch.column(0)[a:b], pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(cols[2]))), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary())],
+                    ["doc_id", "n", "digest", "prefix", "bits", "sample"],
                 )
 
     return run
@@ -209,29 +216,71 @@ def _verify(k: int, num: int, den: int):
     return run
 
 
+def _leaf_pairs(block: np.ndarray, sizes: np.ndarray, groups: np.ndarray, raw: list[bytes], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one block (rows are in the order of blocks, none larger than a leaf) that may link."""
+    one, two = [], []
+    for step in range(1, LEAF):
+        i = np.flatnonzero(block[step:] == block[:-step])
+        if not len(i):
+            break
+        j = i + step
+        fits = (groups[i] != groups[j]) & (den * np.minimum(sizes[i], sizes[j]) >= num * np.maximum(sizes[i], sizes[j]))
+        one.append(i[fits])
+        two.append(j[fits])
+    i, j = np.concatenate([np.empty(0, np.int64), *one]), np.concatenate([np.empty(0, np.int64), *two])
+    width = np.array([len(x) for x in raw], np.int64) // 8
+    rows = {int(w): (own := np.flatnonzero(width == w), np.frombuffer(b"".join(raw[k] for k in own), np.uint64).reshape(len(own), w)) for w in np.unique(width)}
+    good = np.zeros(len(i), bool)
+    for w, (own, bits) in rows.items():
+        for w2, (own2, bits2) in rows.items():
+            at = np.flatnonzero((width[i] == w) & (width[j] == w2))
+            for a in range(0, len(at), 1 << 16):
+                k = at[a : a + (1 << 16)]
+                x, y = bits[np.searchsorted(own, i[k])], bits2[np.searchsorted(own2, j[k])]
+                x, y = fold(x, min(w, w2)), fold(y, min(w, w2))
+                both = np.minimum(sizes[i[k]] - np.bitwise_count(x & ~y).sum(axis=1), sizes[j[k]] - np.bitwise_count(y & ~x).sum(axis=1))
+                good[k] = (num + den) * both.astype(np.int64) >= num * (sizes[i[k]] + sizes[j[k]])
+    return i[good], j[good]
+
+
 def _compare(num: int, den: int):
     def run(group: pa.Table) -> pa.Table:
-        """Candidate pairs of one block, or of two chunks of it: side 0 with itself or with side 1."""
-        ids, sizes, groups = (group[c].to_numpy() for c in ("doc_id", "n", "component"))
-        sides, raw = group["side"].to_numpy(), group["bits"].to_pylist()
-        words = min(len(x) for x in raw) // 8
-        # Sizes that can link differ by a small factor; what is folded too narrow loses pruning, not pairs.
-        bits = np.stack([fold(np.frombuffer(x, np.uint64), words) for x in raw])
-        out: list[tuple[int, int]] = []
-
-        def tree(place: np.ndarray) -> tuple[np.ndarray, Tree]:
+        """Candidate pairs of the blocks, and pairs of chunks of large blocks, that were dealt here."""
+        group = group.sort_by([(c, "ascending") for c in ("token", "i", "j", "doc_id")])
+        ids, sizes, groups, sides, token, ci, cj = (group[c].to_numpy() for c in ("doc_id", "n", "component", "side", "token", "i", "j"))
+        raw = group["sample"].to_pylist()
+        change = np.concatenate([[True], (token[1:] != token[:-1]) | (ci[1:] != ci[:-1]) | (cj[1:] != cj[:-1])])
+        lot, starts = np.cumsum(change) - 1, np.flatnonzero(change)
+        ends = np.append(starts[1:], len(ids))
+        small = ((ends - starts) <= LEAF) & (ci[starts] == cj[starts])
+        leaf = np.flatnonzero(small[lot])
+        i, j = _leaf_pairs(lot[leaf], sizes[leaf], groups[leaf], [raw[k] for k in leaf], num, den)
+        out = [(ids[leaf[i]], ids[leaf[j]])]
+
+        def tree(place: np.ndarray, words: int) -> tuple[np.ndarray, Tree]:
             place = place[np.lexsort((ids[place], sizes[place]))]
-            return place, Tree(bits[place], sizes[place], groups[place])
-
-        own, first = tree(np.flatnonzero(sides == 0)) if (sides == 0).any() else (None, None)
-        if first is not None:
-            one = (group["i"][0].as_py(), group["j"][0].as_py())
-            if one[0] == one[1]:
-                out = [(ids[own[x]], ids[own[y]]) for x, y in traverse(first, first, num, den, True)]
-            elif (sides == 1).any():
-                other, second = tree(np.flatnonzero(sides == 1))
-                out = [(ids[own[x]], ids[other[y]]) for x, y in traverse(first, second, num, den, False)]
-        return pa.table([pa.array([min(p) for p in out], pa.int64()), pa.array([max(p) for p in out], pa.int64())], ["a", "b"])
+            # Sets that can link are nearly as large; what is folded too narrow loses pruning, not pairs.
+            bits = np.stack([fold(np.frombuffer(raw[k], np.uint64), words) for k in place])
+            return place, Tree(bits, sizes[place], groups[place])
+
+        for a, b in zip(starts[~small], ends[~small], strict=True):
+            rows = np.arange(a, b)
+            words = min(max(1, int(np.median([len(raw[k]) for k in rows])) // 8), min(len(raw[k]) for k in rows) // 8)
+            left, right = rows[sides[a:b] == 0], rows[sides[a:b] == 1]
+            if not len(left) or ci[a] != cj[a] and not len(right):
+                continue
+            own, first = tree(left, words)
+            if ci[a] == cj[a]:
+                found = [(own[x], own[y]) for x, y in traverse(first, first, num, den, True)]
+            else:
+                other, second = tree(right, words)
+                found = [(own[x], other[y]) for x, y in traverse(first, second, num, den, False)]
+            if found:
+                x, y = np.array(found).T
+                out.append((ids[x], ids[y]))
+        x, y = (np.concatenate([o[k] for o in out]) for k in (0, 1))
+        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0) if len(x) else np.empty((0, 2), np.int64)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
     return run
 
@@ -272,7 +321,7 @@ def jaccard_components(df: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     n_docs = docs.count()
     hot = counts.filter(F.col("n") >= max(HOT_LEAST, HOT_SHARE * n_docs)).orderBy(F.desc("n"), "token").limit(HOT_TOKENS).collect()
     frequent = spark.sparkContext.broadcast(np.sort(np.array([r["token"] for r in hot], np.int64).view(np.uint64)))
-    sets = saved(docs.mapInArrow(_describe(k, num, den, frequent), "doc_id long, n long, digest binary, prefix array<long>, bits binary"), "ngram-sets")
+    sets = saved(docs.mapInArrow(_describe(k, num, den, frequent), "doc_id long, n long, digest binary, prefix array<long>, bits binary, sample binary"), "ngram-sets")
     classes = sets.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
     classed = sets.select("doc_id", "n", "digest").join(classes, "digest", "left")
     own = saved(classed.select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id")), "ngram-classes")
@@ -296,13 +345,16 @@ def jaccard_components(df: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
     named = blocks.select("token", "doc_id").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     named = saved(named.select("token", "doc_id", F.coalesce("component", "doc_id").alias("component")), "ngram-named")
-    mixed = named.groupBy("token").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("m")).filter("c < d")
+    mixed = saved(named.groupBy("token").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("m")).filter("c < d"), "ngram-open")
+    rows = mixed.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first()["m"]
     open_blocks = named.join(mixed.select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("chunks")), "token")
     chunk = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
     spread = open_blocks.withColumn("own", chunk).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     spread = spread.select("token", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side"), "doc_id", "component")
-    compared = spread.join(signs, "doc_id").groupBy("token", "i", "j").applyInArrow(_compare(num, den), "a long, b long").distinct()
-    more = saved(verified(compared, docs, k, num, den), "ngram-links")
+    bucket = F.pmod(F.xxhash64("token", "i", "j"), F.lit(max(1, -(-rows // BUCKET_ROWS)))).cast("int")
+    dealt = spread.join(heads.select("doc_id", "n", "sample"), "doc_id").withColumn("bucket", bucket)
+    compared = dealt.groupBy("bucket").applyInArrow(_compare(num, den), "a long, b long").distinct()
+    more = saved(verified(screened(saved(compared, "ngram-compared")), docs, k, num, den), "ngram-links")
     final = components(links.unionByName(more)).withColumnRenamed("node", "class_id")
     return own.join(final, "class_id", "left").select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
 
