@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import pixels
 
-#: A bin table has at most 256 rows for each raster, so windows over it are small.
-_BINS = Window.partitionBy("raster_id").orderBy("v")
+
+def _bins() -> WindowSpec:
+    """A bin table has at most 256 rows for each raster, so windows over it are small."""
+    return Window.partitionBy("raster_id").orderBy("v")
 
 
 def histogram(df: DataFrame, value: str = "v") -> DataFrame:
@@ -26,7 +28,7 @@ def dominant(df: DataFrame, value: str = "v") -> DataFrame:
 def otsu(df: DataFrame) -> DataFrame:
     """``threshold`` with the first greatest variance between classes; 0 for a constant raster."""
     bins = histogram(df)
-    upto = _BINS.rowsBetween(Window.unboundedPreceding, 0)
+    upto = _bins().rowsBetween(Window.unboundedPreceding, 0)
     all_ = Window.partitionBy("raster_id")
     at = (
         bins.withColumn("wb", F.sum("n").over(upto).cast("double"))
@@ -43,7 +45,7 @@ def otsu(df: DataFrame) -> DataFrame:
 
 def upper_median(df: DataFrame) -> DataFrame:
     """``threshold``: the smallest value with more than half of the pixels (rounded down) at or below it."""
-    bins = histogram(df).withColumn("c", F.sum("n").over(_BINS)).withColumn("total", F.sum("n").over(Window.partitionBy("raster_id")))
+    bins = histogram(df).withColumn("c", F.sum("n").over(_bins())).withColumn("total", F.sum("n").over(Window.partitionBy("raster_id")))
     return bins.filter(F.col("c") > F.expr("total div 2")).groupBy("raster_id").agg(F.min("v").cast("int").alias("threshold"))
 
 

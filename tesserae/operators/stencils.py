@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ROW = Window.partitionBy("raster_id", "y").orderBy("x")
-COLUMN = Window.partitionBy("raster_id", "x").orderBy("y")
+
+def across_row() -> WindowSpec:
+    return Window.partitionBy("raster_id", "y").orderBy("x")
+
+
+def down_column() -> WindowSpec:
+    return Window.partitionBy("raster_id", "x").orderBy("y")
 
 
 def _separable(df: DataFrame, value: str, radius: int, f) -> DataFrame:
     if radius <= 0:
         return df
-    wide = df.withColumn(value, f(value).over(ROW.rowsBetween(-radius, radius)))
-    return wide.withColumn(value, f(value).over(COLUMN.rowsBetween(-radius, radius)))
+    wide = df.withColumn(value, f(value).over(across_row().rowsBetween(-radius, radius)))
+    return wide.withColumn(value, f(value).over(down_column().rowsBetween(-radius, radius)))
 
 
 def dilate(df: DataFrame, radius: int = 1, value: str = "bit") -> DataFrame:
@@ -40,30 +45,30 @@ def _near(value: str, window, step: int) -> Column:
 
 def sobel(df: DataFrame) -> DataFrame:
     """``mag``: |gx| + |gy| of the 3 x 3 operator, the border repeated."""
-    across = df.withColumn("d", _near("v", ROW, 1) - _near("v", ROW, -1)).withColumn("s", _near("v", ROW, -1) + 2 * F.col("v") + _near("v", ROW, 1))
-    gx = _near("d", COLUMN, -1) + 2 * F.col("d") + _near("d", COLUMN, 1)
-    gy = _near("s", COLUMN, 1) - _near("s", COLUMN, -1)
+    across = df.withColumn("d", _near("v", across_row(), 1) - _near("v", across_row(), -1)).withColumn("s", _near("v", across_row(), -1) + 2 * F.col("v") + _near("v", across_row(), 1))
+    gx = _near("d", down_column(), -1) + 2 * F.col("d") + _near("d", down_column(), 1)
+    gy = _near("s", down_column(), 1) - _near("s", down_column(), -1)
     return across.select("raster_id", "y", "x", (F.abs(gx) + F.abs(gy)).cast("int").alias("mag"))
 
 
 def box_blur(df: DataFrame, radius: int = 1) -> DataFrame:
     """``v``: the rounded mean of the clipped square, from sums over rows and then columns."""
-    part = df.withColumn("s", F.sum("v").over(ROW.rowsBetween(-radius, radius))).withColumn("n", F.count("v").over(ROW.rowsBetween(-radius, radius)))
-    total, n = F.sum("s").over(COLUMN.rowsBetween(-radius, radius)), F.sum("n").over(COLUMN.rowsBetween(-radius, radius))
+    part = df.withColumn("s", F.sum("v").over(across_row().rowsBetween(-radius, radius))).withColumn("n", F.count("v").over(across_row().rowsBetween(-radius, radius)))
+    total, n = F.sum("s").over(down_column().rowsBetween(-radius, radius)), F.sum("n").over(down_column().rowsBetween(-radius, radius))
     return part.select("raster_id", "y", "x", F.rint(total / n).cast("int").alias("v"))
 
 
 def gaussian_blur(df: DataFrame) -> DataFrame:
     """``v``: weights 1 2 1 across and down over 16, halves to the even number, the border repeated."""
-    across = df.withColumn("s", _near("v", ROW, -1) + 2 * F.col("v") + _near("v", ROW, 1))
-    total = _near("s", COLUMN, -1) + 2 * F.col("s") + _near("s", COLUMN, 1)
+    across = df.withColumn("s", _near("v", across_row(), -1) + 2 * F.col("v") + _near("v", across_row(), 1))
+    total = _near("s", down_column(), -1) + 2 * F.col("s") + _near("s", down_column(), 1)
     return across.select("raster_id", "y", "x", F.rint(total / 16).cast("int").alias("v"))
 
 
 def median(df: DataFrame, radius: int = 1) -> DataFrame:
     """``v``: the upper median of the clipped square. Lists of at most (2 radius + 1) squared values are sorted in place."""
-    lists = df.withColumn("l", F.collect_list("v").over(ROW.rowsBetween(-radius, radius)))
-    lists = lists.withColumn("l", F.array_sort(F.flatten(F.collect_list("l").over(COLUMN.rowsBetween(-radius, radius)))))
+    lists = df.withColumn("l", F.collect_list("v").over(across_row().rowsBetween(-radius, radius)))
+    lists = lists.withColumn("l", F.array_sort(F.flatten(F.collect_list("l").over(down_column().rowsBetween(-radius, radius)))))
     return lists.select("raster_id", "y", "x", F.get("l", F.expr("size(l) div 2")).alias("v"))
 
 
@@ -71,8 +76,8 @@ def majority(df: DataFrame, radius: int = 1, value: str = "label") -> DataFrame:
     """The most frequent label of the clipped square; of equally frequent ones the pixel's own, then the smallest."""
     if radius <= 0:
         return df
-    lists = df.withColumn("l", F.collect_list(value).over(ROW.rowsBetween(-radius, radius)))
-    lists = lists.withColumn("l", F.flatten(F.collect_list("l").over(COLUMN.rowsBetween(-radius, radius))))
+    lists = df.withColumn("l", F.collect_list(value).over(across_row().rowsBetween(-radius, radius)))
+    lists = lists.withColumn("l", F.flatten(F.collect_list("l").over(down_column().rowsBetween(-radius, radius))))
     own = F.col(value)
     rank = lambda c: F.struct(F.size(F.filter("l", lambda z: z == c)).alias("n"), (c == own).alias("own"), (-c).alias("low"), c.alias("label"))
     best = F.array_max(F.transform(F.array_distinct("l"), rank))
