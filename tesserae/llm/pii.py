@@ -76,13 +76,17 @@ def located(text: Column, pattern: str, valid: Callable[[Column], Column]) -> Co
     return F.aggregate(pairs, zero, step, lambda a: a["out"])
 
 
+def _named(no: int) -> Callable[[Column], Column]:
+    return lambda s: F.struct(s["start"].alias("start"), F.lit(no).alias("kind_no"), s["end"].alias("end"), s["value"].alias("value"))
+
+
 def base_spans(text: Column) -> Column:
     """array<struct<start, kind_no, end, value>> in order of start, then kind as listed."""
     found = []
     for no, kind in enumerate(KINDS):
         holds = text.contains("@") if kind == "email" else text.rlike(GUARDS[kind])
         spans = F.when(holds, located(text, PATTERNS[kind], VALID[kind])).otherwise(F.array().cast(SPANS))
-        found.append(F.transform(spans, lambda s, no=no: F.struct(s["start"].alias("start"), F.lit(no).alias("kind_no"), s["end"].alias("end"), s["value"].alias("value"))))
+        found.append(F.transform(spans, _named(no)))
     return F.array_sort(F.concat(*found))
 
 
