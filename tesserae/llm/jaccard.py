@@ -5,13 +5,15 @@
 2.  Two sets that link share a shingle among the first ``n - ceil(t n) + 1`` of each, in any order common to all.
     The order puts shingles last that were seen to be frequent, so passages that many documents share
     seldom make candidates. Which ones are taken to be frequent bears on speed alone, never on the result.
-3.  Shingles that stand in the prefixes of several representatives are blocks. In each block all are compared with the
-    smallest id first (star pairs), which links groups of near copies without their pairs.
-4.  Blocks that hold more than one component then go through signature trees. A leaf has the bitmap of one set, a node
-    the OR of its children's bitmaps, the range of their sizes and the fewest bits of a set below it. Two
-    nodes are traversed together; a pair of nodes is left if their sizes cannot match, if both lie in one component, or if
-    the greatest possible overlap is too small: a set with ``k`` bits of which at most ``c`` are common to both nodes
-    has ``k - c`` shingles or more that the other side lacks.
+3.  The representatives that share a prefix shingle are its holders, and the smallest id among them is its center. All
+    holders of shingles with one center are a block, so two sets that link stand in a block together, and a family that
+    shares many shingles stands there once. In each block all are compared with the center first (star
+    pairs), which links groups of near copies without their pairs.
+4.  Blocks that hold more than one component then go through signature trees, one for each width of bitmap. A leaf has
+    the bitmap of one set, a node the OR of its children's bitmaps, the range of their sizes and the fewest bits of a set
+    below it. Two nodes are traversed together; a pair of nodes is left if their sizes cannot match, if both lie in
+    one component, or if the greatest possible overlap is too small: a set with ``k`` bits of which at most ``c`` are
+    common to both nodes has ``k - c`` shingles or more that the other side lacks.
 5.  What both steps leave is verified on the whole shingle sets, computed again from the texts.
 
 Blocks beyond ``BLOCK`` members are compared as pairs of bounded chunks, so no task holds an unbounded group.
@@ -33,7 +35,7 @@ from .rolling import BASE, between, joined, mix, powers, prefixes, slices
 
 HOT_TOKENS, HOT_SHARE, HOT_LEAST = 65_536, 0.002, 64
 BLOCK, LEAF = 4_096, 64
-BUCKET_ROWS, SAMPLED = 100_000, 4  # rows in one task's group; one shingle in four is in a tree's bitmaps
+BUCKET_ROWS = 32_768  # rows in one task's group
 FILTER_BITS = 1 << 24
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -88,12 +90,6 @@ def fold(bits: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_or.reduce(bits.reshape(*bits.shape[:-1], -1, words), axis=-2)
 
 
-def sampled_bitmap(own: np.ndarray) -> np.ndarray:
-    """``bitmap`` of every fourth shingle by hash: what the trees carry. A shingle missed in the sample is missed in the
-    whole, so bounds on the overlap hold."""
-    return bitmap(own[mix(own) >> np.uint64(62) == 0])
-
-
 def may_link(a: np.ndarray, na: int, b: np.ndarray, nb: int, num: int, den: int) -> bool:
     """Whether bitmaps and sizes allow two sets to link."""
     if den * min(na, nb) < num * max(na, nb):
@@ -181,12 +177,12 @@ def _describe(k: int, num: int, den: int, hot):
                         at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
                         late = frequent[at] == own
                         prefix = np.concatenate([own[~late][:lead], own[late]])[:lead]
-                    rows.append((n, hashlib.blake2b(own.tobytes(), digest_size=16).digest(), prefix.view(np.int64), bitmap(own).tobytes() if n else b"", sampled_bitmap(own).tobytes() if n else b""))
+                    rows.append((n, hashlib.blake2b(own.tobytes(), digest_size=16).digest(), prefix.view(np.int64), bitmap(own).tobytes() if n else b""))
                 cols = list(zip(*rows, strict=True))
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in cols[2]])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(cols[2]))), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary())],
-                    ["doc_id", "n", "digest", "prefix", "bits", "sample"],
+                    [batch.column(0)[a:b], pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(cols[2]))), pa.array(cols[3], pa.binary())],
+                    ["doc_id", "n", "digest", "prefix", "bits"],
                 )
 
     return run
@@ -246,10 +242,11 @@ def _leaf_pairs(block: np.ndarray, sizes: np.ndarray, groups: np.ndarray, raw: l
 def _compare(num: int, den: int):
     def run(group: pa.Table) -> pa.Table:
         """Candidate pairs of the blocks, and pairs of chunks of large blocks, that were dealt here."""
-        group = group.sort_by([(c, "ascending") for c in ("token", "i", "j", "doc_id")])
-        ids, sizes, groups, sides, token, ci, cj = (group[c].to_numpy() for c in ("doc_id", "n", "component", "side", "token", "i", "j"))
-        raw = group["sample"].to_pylist()
-        change = np.concatenate([[True], (token[1:] != token[:-1]) | (ci[1:] != ci[:-1]) | (cj[1:] != cj[:-1])])
+        group = group.sort_by([(c, "ascending") for c in ("center", "i", "j", "doc_id")])
+        ids, sizes, groups, sides, center, ci, cj = (group[c].to_numpy() for c in ("doc_id", "n", "component", "side", "center", "i", "j"))
+        raw = group["bits"].to_pylist()
+        width = np.array([len(x) for x in raw], np.int64) // 8
+        change = np.concatenate([[True], (center[1:] != center[:-1]) | (ci[1:] != ci[:-1]) | (cj[1:] != cj[:-1])])
         lot, starts = np.cumsum(change) - 1, np.flatnonzero(change)
         ends = np.append(starts[1:], len(ids))
         small = ((ends - starts) <= LEAF) & (ci[starts] == cj[starts])
@@ -257,27 +254,27 @@ def _compare(num: int, den: int):
         i, j = _leaf_pairs(lot[leaf], sizes[leaf], groups[leaf], [raw[k] for k in leaf], num, den)
         out = [(ids[leaf[i]], ids[leaf[j]])]
 
-        def tree(place: np.ndarray, words: int) -> tuple[np.ndarray, Tree]:
-            place = place[np.lexsort((ids[place], sizes[place]))]
-            # Sets that can link are nearly as large; what is folded too narrow loses pruning, not pairs.
-            bits = np.stack([fold(np.frombuffer(raw[k], np.uint64), words) for k in place])
-            return place, Tree(bits, sizes[place], groups[place])
+        def trees(rows: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+            """By width, in rising order: the rows, smallest sets first, and their bitmaps."""
+            rows = rows[np.lexsort((ids[rows], sizes[rows]))]
+            parted = {int(w): rows[width[rows] == w] for w in np.unique(width[rows])}
+            return {w: (own, np.frombuffer(b"".join(raw[k] for k in own), np.uint64).reshape(len(own), w)) for w, own in parted.items()}
 
         for a, b in zip(starts[~small], ends[~small], strict=True):
             rows = np.arange(a, b)
-            words = min(max(1, int(np.median([len(raw[k]) for k in rows])) // 8), min(len(raw[k]) for k in rows) // 8)
-            left, right = rows[sides[a:b] == 0], rows[sides[a:b] == 1]
-            if not len(left) or ci[a] != cj[a] and not len(right):
-                continue
-            own, first = tree(left, words)
-            if ci[a] == cj[a]:
-                found = [(own[x], own[y]) for x, y in traverse(first, first, num, den, True)]
-            else:
-                other, second = tree(right, words)
-                found = [(own[x], other[y]) for x, y in traverse(first, second, num, den, False)]
-            if found:
-                x, y = np.array(found).T
-                out.append((ids[x], ids[y]))
+            alone = ci[a] == cj[a]
+            left, right = trees(rows[sides[a:b] == 0]), trees(rows[sides[a:b] == 1])
+            right = left if alone else right
+            for w, (own, bits) in left.items():
+                for w2, (other, bits2) in right.items():
+                    if alone and w2 < w or den * sizes[own[-1]] < num * sizes[other[0]] or den * sizes[other[-1]] < num * sizes[own[0]]:
+                        continue
+                    narrow = min(w, w2)
+                    first = Tree(fold(bits, narrow), sizes[own], groups[own])
+                    same = alone and w == w2
+                    second = first if same else Tree(fold(bits2, narrow), sizes[other], groups[other])
+                    found = np.array(list(traverse(first, second, num, den, same)), np.int64).reshape(-1, 2)
+                    out.append((ids[own[found[:, 0]]], ids[other[found[:, 1]]]))
         x, y = (np.concatenate([o[k] for o in out]) for k in (0, 1))
         pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0) if len(x) else np.empty((0, 2), np.int64)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
@@ -321,40 +318,40 @@ def jaccard_components(df: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     n_docs = docs.count()
     hot = counts.filter(F.col("n") >= max(HOT_LEAST, HOT_SHARE * n_docs)).orderBy(F.desc("n"), "token").limit(HOT_TOKENS).collect()
     frequent = spark.sparkContext.broadcast(np.sort(np.array([r["token"] for r in hot], np.int64).view(np.uint64)))
-    sets = saved(docs.mapInArrow(_describe(k, num, den, frequent), "doc_id long, n long, digest binary, prefix array<long>, bits binary, sample binary"), "ngram-sets")
+    sets = saved(docs.mapInArrow(_describe(k, num, den, frequent), "doc_id long, n long, digest binary, prefix array<long>, bits binary"), "ngram-sets")
     classes = sets.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
     classed = sets.select("doc_id", "n", "digest").join(classes, "digest", "left")
     own = saved(classed.select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id")), "ngram-classes")
     heads = own.filter("n > 0 and doc_id = class_id").select("doc_id", "n").distinct()
     heads = saved(sets.join(heads, ["doc_id", "n"], "left_semi").dropDuplicates(["doc_id", "digest"]), "ngram-heads")
 
-    members = heads.select("doc_id", "n", F.explode("prefix").alias("token"))
+    members = heads.select("doc_id", F.explode("prefix").alias("token"))
     shared = members.groupBy("token").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("other")).filter("center < other")
-    blocks = saved(members.join(shared.select("token", "center"), "token"), "ngram-blocks")
-    signs = heads.select("doc_id", "n", "bits")
+    shared = saved(shared.select("token", "center"), "ngram-shared")
+    blocks = saved(members.join(shared, "token").select("center", "doc_id").distinct(), "ngram-blocks")
 
-    def screened(pairs: DataFrame) -> DataFrame:
-        right = signs.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
-        left = signs.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
-        fit = (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-        return pairs.join(right, "b").join(left, "a").filter(fit).select("a", "na", "bits_a", "b", "nb", "bits_b").mapInArrow(_screen(num, den), "a long, b long")
+    def side(name: str, *columns: str) -> DataFrame:
+        return heads.select(*(F.col(c).alias(f"{c}_{name}") for c in columns)).withColumnRenamed(f"doc_id_{name}", name)
 
-    star = blocks.filter("doc_id > center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = saved(verified(screened(star), docs, k, num, den), "ngram-links")
+    star = blocks.filter("doc_id > center").select(F.col("center").alias("a"), F.col("doc_id").alias("b"))
+    sized = star.join(side("b", "doc_id", "n"), "b").join(side("a", "doc_id", "n"), "a").filter(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
+    signed = sized.join(side("b", "doc_id", "n", "bits"), ["b", "n_b"]).join(side("a", "doc_id", "n", "bits"), ["a", "n_a"])
+    near = signed.select("a", "n_a", "bits_a", "b", "n_b", "bits_b").mapInArrow(_screen(num, den), "a long, b long").distinct()
+    links = saved(verified(near, docs, k, num, den), "ngram-links")
     first = components(links)
 
-    named = blocks.select("token", "doc_id").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    named = saved(named.select("token", "doc_id", F.coalesce("component", "doc_id").alias("component")), "ngram-named")
-    mixed = saved(named.groupBy("token").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("m")).filter("c < d"), "ngram-open")
-    rows = mixed.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first()["m"]
-    open_blocks = named.join(mixed.select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("chunks")), "token")
+    named = blocks.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    named = saved(named.select("center", "doc_id", F.coalesce("component", "doc_id").alias("component")), "ngram-named")
+    mixed = saved(named.groupBy("center").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("m")).filter("c < d"), "ngram-open")
+    rows = mixed.agg(F.coalesce(F.sum(F.col("m") * F.ceil(F.col("m") / BLOCK)), F.lit(0)).alias("m")).first()["m"]
+    open_blocks = named.join(mixed.select("center", F.ceil(F.col("m") / BLOCK).cast("int").alias("chunks")), "center")
     chunk = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
     spread = open_blocks.withColumn("own", chunk).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    spread = spread.select("token", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side"), "doc_id", "component")
-    bucket = F.pmod(F.xxhash64("token", "i", "j"), F.lit(max(1, -(-rows // BUCKET_ROWS)))).cast("int")
-    dealt = spread.join(heads.select("doc_id", "n", "sample"), "doc_id").withColumn("bucket", bucket)
+    spread = spread.select("center", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side"), "doc_id", "component")
+    bucket = F.pmod(F.xxhash64("center", "i", "j"), F.lit(max(1, -(-rows // BUCKET_ROWS)))).cast("int")
+    dealt = spread.join(heads.select("doc_id", "n", "bits"), "doc_id").withColumn("bucket", bucket)
     compared = dealt.groupBy("bucket").applyInArrow(_compare(num, den), "a long, b long").distinct()
-    more = saved(verified(screened(saved(compared, "ngram-compared")), docs, k, num, den), "ngram-links")
+    more = saved(verified(compared, docs, k, num, den), "ngram-links")
     final = components(links.unionByName(more)).withColumnRenamed("node", "class_id")
     return own.join(final, "class_id", "left").select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
 

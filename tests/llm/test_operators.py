@@ -271,14 +271,14 @@ def test_trees_and_leaves_lose_no_pair():
         own[rng.integers(0, len(own), rng.integers(0, 40))] = rng.integers(0, 1 << 63, 1).astype(np.uint64)
         sets.append(np.unique(own))
     links = {(i, j) for i in range(150) for j in range(i + 1, 150) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))}
-    rows = {"n": [len(s) for s in sets], "component": list(range(150)), "sample": [jaccard.sampled_bitmap(s).tobytes() for s in sets], "doc_id": list(range(150))}
+    rows = {"n": [len(s) for s in sets], "component": list(range(150)), "bits": [jaccard.bitmap(s).tobytes() for s in sets], "doc_id": list(range(150))}
     for token, chunks in ((np.zeros(150), 1), (np.zeros(150), 3), (np.arange(150) // 40, 1)):
         parts = []
         for at in range(150):
             own = at % chunks
             for other in range(chunks):
                 parts.append((int(token[at]), min(own, other), max(own, other), 0 if own <= other else 1, at))
-        table = pa.table({"token": [p[0] for p in parts], "i": [p[1] for p in parts], "j": [p[2] for p in parts], "side": [p[3] for p in parts], **{k: [v[p[4]] for p in parts] for k, v in rows.items()}})
+        table = pa.table({"center": [p[0] for p in parts], "i": [p[1] for p in parts], "j": [p[2] for p in parts], "side": [p[3] for p in parts], **{k: [v[p[4]] for p in parts] for k, v in rows.items()}})
         got = jaccard._compare(85, 100)(table)
         found = set(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True))
         assert {(i, j) for i, j in links if token[i] == token[j]} <= found
