@@ -9,7 +9,7 @@
     holders of shingles with one center are a block, so two sets that link stand in a block together, and a family that
     shares many shingles stands there once. In each block all are compared with the center first (star
     pairs), which links groups of near copies without their pairs.
-4.  Blocks that hold more than one component then go through signature trees, one for each width of bitmap. A leaf has
+4.  Members of blocks that have one of another component and of like size beside them go through signature trees, one for each width of bitmap. A leaf has
     the bitmap of one set, a node the OR of its children's bitmaps, the range of their sizes and the fewest bits of a set
     below it. Two nodes are traversed together; a pair of nodes is left if their sizes cannot match, if both lie in
     one component, or if the greatest possible overlap is too small: a set with ``k`` bits of which at most ``c`` are
@@ -22,6 +22,7 @@ Blocks beyond ``BLOCK`` members are compared as pairs of bounded chunks, so no t
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import discard, saved, table
 from .components import components
 from .rolling import BASE, between, joined, mix, powers, prefixes, slices
 
@@ -324,32 +325,39 @@ def jaccard_components(df: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     own = saved(classed.select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id")), "ngram-classes")
     heads = own.filter("n > 0 and doc_id = class_id").select("doc_id", "n").distinct()
     heads = saved(sets.join(heads, ["doc_id", "n"], "left_semi").dropDuplicates(["doc_id", "digest"]), "ngram-heads")
+    discard(sets)  # all that is needed of it is written
 
-    members = heads.select("doc_id", F.explode("prefix").alias("token"))
+    members = heads.select("doc_id", "n", F.explode("prefix").alias("token"))
     shared = members.groupBy("token").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("other")).filter("center < other")
     shared = saved(shared.select("token", "center"), "ngram-shared")
-    blocks = saved(members.join(shared, "token").select("center", "doc_id").distinct(), "ngram-blocks")
+    blocks = saved(members.join(shared, "token").select("center", "doc_id", "n").distinct(), "ngram-blocks")
 
     def side(name: str, *columns: str) -> DataFrame:
         return heads.select(*(F.col(c).alias(f"{c}_{name}") for c in columns)).withColumnRenamed(f"doc_id_{name}", name)
 
-    star = blocks.filter("doc_id > center").select(F.col("center").alias("a"), F.col("doc_id").alias("b"))
-    sized = star.join(side("b", "doc_id", "n"), "b").join(side("a", "doc_id", "n"), "a").filter(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
+    star = blocks.filter("doc_id > center").select(F.col("center").alias("a"), F.col("doc_id").alias("b"), F.col("n").alias("n_b"))
+    sized = star.join(side("a", "doc_id", "n"), "a").filter(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
     signed = sized.join(side("b", "doc_id", "n", "bits"), ["b", "n_b"]).join(side("a", "doc_id", "n", "bits"), ["a", "n_a"])
     near = signed.select("a", "n_a", "bits_a", "b", "n_b", "bits_b").mapInArrow(_screen(num, den), "a long, b long").distinct()
     links = saved(verified(near, docs, k, num, den), "ngram-links")
     first = components(links)
 
     named = blocks.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    named = saved(named.select("center", "doc_id", F.coalesce("component", "doc_id").alias("component")), "ngram-named")
-    mixed = saved(named.groupBy("center").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("m")).filter("c < d"), "ngram-open")
+    # Sets that link are at most one band apart; the width is a little more than their ratio, for rounding.
+    band = F.floor(F.log("n") / (1.0001 * max(math.log(den / num), 1e-6))).cast("int")
+    named = saved(named.select("center", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"), band.alias("band")), "ngram-named")
+    bands = named.groupBy("center", "band").agg(F.min("component").alias("c"), F.max("component").alias("d"))
+    bands = bands.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    bands = bands.groupBy("center", "band").agg(F.min("c").alias("c"), F.max("d").alias("d")).filter("c < d")
+    open_rows = saved(named.join(bands, ["center", "band"], "left_semi").drop("band"), "ngram-open")
+    mixed = saved(open_rows.groupBy("center").agg(F.count("*").alias("m")), "ngram-sizes")
     rows = mixed.agg(F.coalesce(F.sum(F.col("m") * F.ceil(F.col("m") / BLOCK)), F.lit(0)).alias("m")).first()["m"]
-    open_blocks = named.join(mixed.select("center", F.ceil(F.col("m") / BLOCK).cast("int").alias("chunks")), "center")
+    open_blocks = open_rows.join(mixed.select("center", F.ceil(F.col("m") / BLOCK).cast("int").alias("chunks")), "center")
     chunk = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
     spread = open_blocks.withColumn("own", chunk).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    spread = spread.select("center", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side"), "doc_id", "component")
+    spread = spread.select("center", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side"), "doc_id", "n", "component")
     bucket = F.pmod(F.xxhash64("center", "i", "j"), F.lit(max(1, -(-rows // BUCKET_ROWS)))).cast("int")
-    dealt = spread.join(heads.select("doc_id", "n", "bits"), "doc_id").withColumn("bucket", bucket)
+    dealt = spread.join(heads.select("doc_id", "n", "bits"), ["doc_id", "n"]).withColumn("bucket", bucket)
     compared = dealt.groupBy("bucket").applyInArrow(_compare(num, den), "a long, b long").distinct()
     more = saved(verified(compared, docs, k, num, den), "ngram-links")
     final = components(links.unionByName(more)).withColumnRenamed("node", "class_id")
