@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +14,8 @@ SPACE = r"\x20\x09-\x0D"
 """Bytes that part words: space, and tab to carriage return."""
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 """Shuffle files go as soon as the table that needed them is written."""
+BUCKET_ROWS, MOST_BUCKETS = 200_000, 100_000
+"""Rows in a bucket of a bucketed table, and the most buckets that Spark takes by default."""
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,19 +31,39 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: its lineage ends there, so a lost executor costs a reread."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+@contextmanager
+def _shuffle_files_go(spark: SparkSession) -> Iterator[None]:
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        yield
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: its lineage ends there, so a lost executor costs a reread."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    with _shuffle_files_go(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, keys: list[str], rows: int, step: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """``step`` of ``df`` dealt by ``keys``, written to the shared folder as a table in buckets of ``keys`` and read again.
+
+    Joins on all of ``keys`` then read the table's buckets without moving its rows. ``step`` must leave rows where they are.
+    """
+    spark = df.sparkSession
+    count = min(MOST_BUCKETS, max(parts(df), -(-rows // BUCKET_ROWS)))
+    unique = f"{name}_{uuid.uuid4().hex}"
+    dealt = step(df.repartition(count, *keys))
+    with _shuffle_files_go(spark):
+        dealt.write.option("compression", "zstd").option("path", f"{shared_folder(spark)}/{unique}").bucketBy(count, *keys).saveAsTable(unique, format="parquet")
+    return spark.table(unique)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a table from ``saved`` that no table yet to be computed reads."""
     spark = df.sparkSession

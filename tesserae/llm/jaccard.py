@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, saved, table
+from .common import bucketed, discard, saved, table
 from .components import components
 from .rolling import BASE, between, joined, mix, powers, prefixes, slices
 
@@ -324,7 +324,7 @@ def jaccard_components(df: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     classed = sets.select("doc_id", "n", "digest").join(classes, "digest", "left")
     own = saved(classed.select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id")), "ngram-classes")
     heads = own.filter("n > 0 and doc_id = class_id").select("doc_id", "n").distinct()
-    heads = saved(sets.join(heads, ["doc_id", "n"], "left_semi").dropDuplicates(["doc_id", "digest"]), "ngram-heads")
+    heads = bucketed(sets, ["doc_id", "n"], n_docs, lambda parted: parted.join(heads, ["doc_id", "n"], "left_semi").dropDuplicates(["doc_id", "n", "digest"]), "ngram_heads")
     discard(sets)  # all that is needed of it is written
 
     members = heads.select("doc_id", "n", F.explode("prefix").alias("token"))
