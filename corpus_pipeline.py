@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read by the next.
 
 Every stage but the last returns the columns of ``documents``. Null texts count as empty, repeated rows are treated alike,
-an empty table stays empty, and other columns pass through.
+an empty table stays empty, and other columns pass through whatever their names. Rows without an id share the fate of that
+id in language ID and mixing; near duplicates can't group them and keep them.
 """
 
 from __future__ import annotations
@@ -16,36 +17,45 @@ from tesserae.llm.common import saved, table
 LEAST_SCORE = 0.4
 
 
+def _chosen(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``doc_id``, null like any other, is one of ``chosen``."""
+    chosen = chosen.select(F.col("doc_id").alias("chosen_id"))
+    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["chosen_id"]), "left_semi")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the network tells; it learns from the labelled ones that are not held out."""
     net = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))
     told = langid.predict(docs, net).filter((F.col("lang_pred") != langid.UNDECIDED) & (F.col("score") >= LEAST_SCORE))
-    return docs.join(told.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    return _chosen(docs, told)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group (links by five-word shingles, similarity of 0.8 or more): that with the smallest id."""
-    kept = jaccard.jaccard_components(docs, 5, 80, 100).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    named = docs.filter(F.col("doc_id").isNotNull())
+    kept = jaccard.jaccard_components(named, 5, 80, 100).filter("doc_id = component_id").select("doc_id").distinct()
+    first = named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return first.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data in their texts replaced by the names of its kinds."""
     found = pii.find_personal_data(docs)
-    spans = found.select("doc_id", "text_key", pii.all_spans(F.col("base"), F.col("added")).alias("pii_spans")).filter(F.size("pii_spans") > 0)
+    spans = found.select("doc_id", "text_key", pii.all_spans(F.col("base"), F.col("added")).alias("spans")).filter(F.size("spans") > 0)
     spans = saved(spans.dropDuplicates(["doc_id", "text_key"]), "pii-found")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    held = docs.withColumn("text_key", F.xxhash64(text)).join(spans, ["doc_id", "text_key"], "left")
-    redacted = held.withColumn("text", F.when(F.col("pii_spans").isNotNull(), pii.redact(F.col("text"), F.col("pii_spans"))).otherwise(F.col("text")))
+    held = docs.select(F.struct(*docs.columns).alias("own"))  # names of columns stay apart from ours
+    text = F.coalesce(F.col("own.text").cast("string"), F.lit(""))
+    same = F.col("own.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64(text) == F.col("text_key"))
+    redacted = F.when(F.col("spans").isNotNull(), pii.redact(F.col("own.text"), F.col("spans"))).otherwise(F.col("own.text"))
+    new = {"text": redacted}
     if "n_chars" in docs.columns:
-        redacted = redacted.withColumn("n_chars", F.when(F.col("pii_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return redacted.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("spans").isNotNull(), F.length(redacted).cast("long")).otherwise(F.col("own.n_chars"))
+    return held.join(spans, same, "left").select(*(new.get(c, F.col("own")[c]).alias(c) for c in docs.columns))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the default mixture draws in at most one epoch."""
-    drawn = mixing.mix(docs, max_epochs=1).select("doc_id").distinct()
-    return docs.join(drawn, "doc_id", "left_semi").select(*docs.columns)
+    return _chosen(docs, mixing.mix(docs, max_epochs=1))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
