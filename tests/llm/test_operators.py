@@ -311,3 +311,29 @@ def test_pipeline_stages(spark, docs, none, tmp_path):
         assert stage(spark, none, "").count() == 0
     near = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
     assert near == {i for i, (_, c) in brute_components([(r[0], r[1]) for r in DOCS], 5, 80, 100).items() if c == i}
+
+
+def test_stages_with_null_ids_and_clashing_names(spark, docs):
+    lost = [(None, "mail a@b.cc now", "en", None, 5, "c", 1), (None, None, None, None, None, None, None), (None, BASE, "en", "src0", None, "c", 1)]
+    names = ("spans", "text_key", "own", "chosen_id", "component_id", "base", "pii_spans", "lang_pred")
+    more = docs.unionByName(spark.createDataFrame(lost, SCHEMA)).select("*", *(F.lit(n).alias(n) for n in names))
+    found = {"near": corpus_pipeline.near_duplicates(spark, more, ""), "pii": corpus_pipeline.personal_data(spark, more, "")}
+    found["mix"] = corpus_pipeline.source_mixing(spark, more, "")
+    rows = {k: df.collect() for k, df in found.items()}
+    for k, df in found.items():
+        assert df.columns == more.columns
+        assert all(r[n] == n for r in rows[k] for n in names)
+    assert sorted(r.text or "" for r in rows["near"] if r.doc_id is None) == sorted(t or "" for _, t, *_ in lost)
+    assert sorted((r.text or "", r.n_chars) for r in rows["pii"] if r.doc_id is None and r.text != BASE) == [("", None), ("mail [EMAIL] now", 16)]
+    assert len(rows["pii"]) == len(DOCS) + len(lost)
+    assert {r.doc_id for r in mixing.mix(more, max_epochs=1).collect()} == {r.doc_id for r in rows["mix"]}
+
+
+def test_language_stage(spark, none):
+    own = {"aa": "kalimba tarika molano ", "bb": "strüngst pfläch dwörk "}
+    rows = [(i, own[k] * 3, k, None, None, "x", 1) for i in range(60) for k in [("aa", "bb")[i % 2]]]
+    rows += [(None, own["aa"] * 4, "aa", None, None, "x", 1), (900, None, "aa", None, None, "x", 1), (901, "12 34", "bb", None, None, "x", 1)]
+    kept = corpus_pipeline.language_id(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert kept.columns == none.columns
+    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in kept.collect()) == [(False, 0)] + [(True, i) for i in range(60)]
+    assert corpus_pipeline.language_id(spark, none, "").count() == 0
