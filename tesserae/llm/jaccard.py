@@ -310,7 +310,8 @@ def jaccard_components(df: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     other bytes than space and tab to carriage return, with A-Z in lower case. A text with fewer words is one shingle;
     a null text or one without words has no shingle, links with nothing and is its own class and component.
     ``class_id`` is the smallest id with the same set, ``component_id`` the smallest id reachable by links. Repeated
-    rows are repeated; rows with one id and different texts count as one document when linked. Empty tables give no
+    rows are repeated; rows with one id and different texts count as one document when linked. A row without an id
+    takes the class of its exact copies that have one, else null, and has no other link. Empty tables give no
     row, and other columns are not read.
     """
     spark = df.sparkSession
