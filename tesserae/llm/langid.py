@@ -238,18 +238,19 @@ def sample(df: DataFrame, text_col: str = "text", lang_col: str = "lang", per_la
     """At most ``per_language`` windows of each of the first ``LANGUAGES`` languages by number of documents.
 
     Documents come in the order of a hash of their text, equal texts once; the window's place follows from
-    that hash. Documents are thinned to about twice what is needed before they are ranked, by the same hash, so a language with
-    a third of all rows isn't gathered in one task.
+    that hash. Texts are thinned to about three times what is needed before they are ranked, by the same hash, so a language with
+    a third of all rows isn't gathered in one task. The share follows from the number of different texts: copies share a hash.
     """
     text = F.col(text_col).cast("string")
     rows = df.filter(F.col(lang_col).isNotNull() & text.rlike(r"\p{L}")).select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"))
-    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    texts = hashed.groupBy("lang", "h").agg(F.count("*").alias("n")).groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
+    n = {r["lang"]: r["texts"] for r in texts.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not n:
         return []
     share = F.lit(0.0)
     for name, count in n.items():
         share = F.when(F.col("lang") == name, F.lit(min(1.0, 3 * per_language / count))).otherwise(share)
-    hashed = rows.withColumn("h", F.xxhash64("text"))
     thin = hashed.filter(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))
     place = F.pmod(F.shiftright("h", 20), F.greatest(F.lit(1), F.length("text") - TRAIN_WIDTH)).cast("int") + 1
     windows = thin.select("lang", "h", F.substr("text", place, F.lit(TRAIN_WIDTH)).alias("w")).distinct()

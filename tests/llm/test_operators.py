@@ -82,6 +82,13 @@ def test_language_id(spark, docs, none):
     assert langid.sample(none) == [] and langid.predict(docs, langid.fit(none)).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_language_sample_of_copies(spark):
+    rows = [("kalimba tarika molano", "aa")] * 3000 + [(f"{WORDS[i]} {WORDS[i + 1]} tarika", "aa") for i in range(20)]
+    rows += [(f"pfläch {WORDS[i]}", "bb") for i in range(6)] + [("dwörk strüngst", "cc")] * 2000
+    found = langid.sample(spark.createDataFrame(rows, "text string, lang string"), per_language=10)
+    assert collections.Counter(k for _, k in found) == {"aa": 10, "bb": 6, "cc": 1}
+
+
 def test_gradient_is_that_of_the_loss():
     rng = np.random.default_rng(0)
     net = langid.train([(b"ab", "x"), (b"cd", "y")], steps=0)
