@@ -1,12 +1,12 @@
 """Personal data by fixed patterns and by bootstrapped context, in DataFrame functions alone.
 
 Base spans (email, ip, card, phone) come from regular expressions and checks of what they match. They are the seeds.
-Instances are the base spans and, beside them, words with digits that no base span touches. A lexical pattern is the
-context of an instance: the two words before it, or one word before it that ends in ``:``, ``=`` or ``#``. Patterns and
+Instances are the base spans and, beside them, runs of words with digits that no base span touches, of any length; a
+word within a run is one as well. A lexical pattern is the context of an instance: the two words before it, or one word before it that ends in ``:``, ``=`` or ``#``. Patterns and
 instances form a graph whose edges are counted once for each value. Rounds alternate: a pattern's confidence is
 the mean score of its instances and its support is their sum; an instance's score is 1 for a seed, else the highest
 confidence among its patterns that are trusted (support of at least ``MIN_SUPPORT`` and confidence of at least
-``MIN_CONFIDENCE``). Instances found by a trusted pattern are added as spans of the kind ``id``.
+``MIN_CONFIDENCE``). Scores only grow, so rounds end when one adds no trusted pattern. Instances found by a trusted pattern are added as spans of the kind ``id``.
 
 Regular expressions use possessive loops, which match the same but neither recurse nor go back, and a lookbehind
 (or the end of the last match) where a match can't start inside a run, so their time grows with the text.
@@ -32,8 +32,9 @@ PATTERNS = {
 #: What a text must hold for a kind to be looked for.
 GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
-ROUNDS, MIN_SUPPORT, MIN_CONFIDENCE, CONTEXT = 3, 5, 0.7, 60
-SPANS = "array<struct<start:int,end:int,value:string>>"
+MIN_SUPPORT, MIN_CONFIDENCE, CONTEXT = 5, 0.7, 60
+SPANS = "array<struct<start:int,end:int,value:string,near:boolean>>"
+_CHUNK = 256  # matches put together before they join the rest, so that appending doesn't copy all of them each time
 
 
 def _digits(value: Column) -> Column:
@@ -61,19 +62,34 @@ VALID: dict[str, Callable[[Column], Column]] = {
 }
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def located(text: Column, pattern: str, valid: Callable[[Column], Column]) -> Column:
-    """Valid matches of ``pattern`` with start and end in code points: what lies between matches gives their places."""
+    """Valid matches of ``pattern`` with start and end in code points: what lies between matches gives their places.
+
+    ``near``: nothing but white space lies between the match and the one before it.
+    """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(SPANS).alias("out"))
 
     def step(a: Column, x: Column) -> Column:
         start = a["pos"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value")))
+        near = ~x["gap"].rlike(r"[^\x20\x09-\x0D]")
+        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value"), near.alias("near")))
         return F.struct(end.alias("pos"), F.when(valid(x["hit"]), F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
 
-    return F.aggregate(pairs, zero, step, lambda a: a["out"])
+    def whole(p: Column) -> Column:
+        def chunk(a: Column, i: Column) -> Column:
+            own = F.aggregate(F.slice(p, i * _CHUNK + 1, F.lit(_CHUNK)), F.struct(a["pos"].alias("pos"), F.array().cast(SPANS).alias("out")), step)
+            return _let(own, lambda o: F.struct(o["pos"].alias("pos"), F.concat(a["out"], F.array(o["out"])).alias("out")))
+
+        zero = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{SPANS}>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.floor(F.size(p) / _CHUNK).cast("int")), zero, chunk, lambda a: F.flatten(a["out"]))
+
+    return _let(pairs, whole)
 
 
 def _named(no: int) -> Callable[[Column], Column]:
@@ -91,16 +107,37 @@ def base_spans(text: Column) -> Column:
 
 
 def _words(text: Column, base: Column) -> Column:
-    """Words with digits, without punctuation around them, that no base span touches and that look like identifiers."""
-    spans = F.when(text.rlike("[0-9]"), located(text, WORD, lambda v: F.length(_digits(v)) >= 4)).otherwise(F.array().cast(SPANS))
+    """Runs of words with digits that no base span touches, then the words within them, without punctuation around them."""
+    spans = F.when(text.rlike("[0-9]"), located(text, WORD, lambda v: F.lit(True))).otherwise(F.array().cast(SPANS))
 
     def bare(s: Column) -> Column:
         lead = F.length(s["value"]) - F.length(F.regexp_replace(s["value"], r"^[^\p{L}0-9]++", ""))
         value = F.regexp_replace(s["value"], r"^[^\p{L}0-9]++|[^\p{L}0-9]++$", "")
-        return F.struct((s["start"] + lead).alias("start"), (s["start"] + lead + F.length(value)).alias("end"), value.alias("value"))
+        start, end = s["start"] + lead, s["start"] + lead + F.length(value)
+        apart = ~F.exists(base, lambda b: (b["start"] < end) & (start < b["end"]))
+        return F.struct(start.alias("start"), end.alias("end"), value.alias("value"), s["near"].alias("near"), apart.alias("apart"))
+
+    def joined(words: Column) -> Column:
+        follows = F.transform(words, lambda w, i: F.struct(*(w[c].alias(c) for c in ("start", "end", "value", "apart")), ((i > 0) & w["near"] & F.get(words, i - 1)["apart"]).alias("within")))
+        return _let(follows, lambda f: F.concat(runs(f), plain(F.filter(f, lambda w: w["apart"] & w["within"]))))
+
+    def plain(words: Column) -> Column:
+        return F.transform(words, lambda w: F.struct(*(w[c].alias(c) for c in ("start", "end", "value"))))
+
+    def runs(words: Column) -> Column:
+        breaks = F.filter(F.transform(words, lambda w, i: F.when(~(w["apart"] & w["within"]), i)), lambda i: i.isNotNull())
+
+        def run(at: Column) -> Column:
+            def one(i: Column, k: Column) -> Column:
+                w, last = F.get(words, i), F.get(words, F.coalesce(F.get(at, k + 1), F.size(words)) - 1)
+                value = F.when(last["start"] == w["start"], w["value"]).otherwise(F.substr(text, w["start"] + 1, last["end"] - w["start"]))
+                return F.when(w["apart"], F.struct(w["start"].alias("start"), last["end"].alias("end"), value.alias("value")))
+
+            return F.array_compact(F.transform(at, one))
+
+        return _let(breaks, run)
 
-    apart = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return F.filter(F.transform(spans, bare), lambda s: F.length(s["value"]).between(6, 40) & apart(s))
+    return _let(F.transform(spans, bare), joined)
 
 
 def _patterns(before: Column) -> Column:
@@ -111,21 +148,23 @@ def _patterns(before: Column) -> Column:
     return F.array_compact(F.array(two, F.when(last.rlike(r"[\p{L}0-9][:=#]+$"), last)))
 
 
-def trusted_patterns(instances: DataFrame, rounds: int = ROUNDS, support: int = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """The patterns trusted after ``rounds`` rounds over ``instances`` (pattern, value, seed).
+def trusted_patterns(instances: DataFrame, support: int = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """The patterns trusted in the end over ``instances`` (pattern, value, seed): rounds go on until one adds no pattern.
 
     An edge counts once whatever its copies; a value that is a seed anywhere is a seed. Sums have partial aggregates, so
     a pattern that a third of all instances share costs one row for each task.
     """
     edges = saved(instances.groupBy("pattern", "value").agg(F.max(F.col("seed").cast("int")).alias("seed")), "pii-edges")
     score = edges.groupBy("value").agg(F.max("seed").cast("double").alias("score"))
-    trusted = None
-    for _ in range(rounds):
+    known = -1
+    while True:
         rated = edges.join(score, "value").groupBy("pattern").agg(F.avg("score").alias("conf"), F.sum("score").alias("support"))
         trusted = saved(rated.filter((F.col("support") >= support) & (F.col("conf") >= confidence)), "pii-patterns")
+        if (now := trusted.count()) == known:
+            return trusted
+        known = now
         reach = edges.join(trusted, "pattern", "left")
         score = reach.groupBy("value").agg(F.greatest(F.max("seed").cast("double"), F.coalesce(F.max("conf"), F.lit(0.0))).alias("score"))
-    return trusted
 
 
 def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,6 +196,8 @@ def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     trusted = trusted_patterns(each.select("pattern", "value", "seed"))
     new = each.filter("not seed").join(trusted.select("pattern"), "pattern", "left_semi")
     added = new.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("added"))
+    wider = lambda o, s: (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (o != s)
+    added = added.withColumn("added", F.filter("added", lambda s: ~F.exists("added", lambda o: wider(o, s))))
     none = F.array().cast("array<struct<start:int,end:int>>")
     return kept.drop("instances").join(added, "row", "left").select("doc_id", "text_key", "base", F.coalesce("added", none).alias("added"))
 

@@ -247,6 +247,24 @@ def test_personal_data(spark, none):
     assert pii.find_personal_data(none).count() == 0
 
 
+def test_personal_data_of_any_length_behind_a_pattern(spark):
+    values = ["AB1", "555 123 4567", "0a" * 32, "12-34 x9, 7"]
+    texts = [f"see badge number {v} there" for v in values] + [f"badge number person{i}@host{i}.example" for i in range(20)]
+    texts += ["badge number 5 +1 (988) 555-2485 AB9 end", "1 2 3 " * 3000]
+    got = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [[texts[i][s.start : s.end] for s in got[i].added] for i in range(len(values))] == [[v] for v in values]
+    assert [texts[24][s.start : s.end] for s in got[24].added] == ["5"] and not got[25].added
+
+
+def test_patterns_to_the_end_of_a_chain(spark):
+    rows = []
+    for p in range(7):
+        rows += [(f"p{p}", f"seed{p}-{i}", True) for i in range(27 if p else 37)] + [(f"p{p}", f"v{p}-{i}", False) for i in range(10)]
+        rows += [(f"p{p}", f"v{p - 1}-{i}", False) for i in range(10 if p else 0)]
+    found = pii.trusted_patterns(spark.createDataFrame(rows, "pattern string, value string, seed boolean"))
+    assert {r.pattern for r in found.collect()} == {f"p{p}" for p in range(7)}
+
+
 def brute_components(rows, k, num, den):
     sets = {}
     for i, t in rows:
