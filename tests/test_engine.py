@@ -171,6 +171,28 @@ def test_profiles():
     assert len(profiles.tile_plan(4, 4, 2)) == 4
 
 
+@pytest.mark.parametrize("mode, key, value", [("regional", "dissolve_adjacent", True), ("regional", "background_policy", "border"), ("edge", "edge_to_polygon", True), ("edge", "canny_low", 10), ("edge", "edge_blur", 5), ("linear", "extract_topology", True)])
+def test_unbuilt_parameters_are_refused(mode, key, value):
+    with pytest.raises(ConfigurationError):
+        profiles.resolve(mode, {key: value})
+    assert profiles.resolve(mode, {key: profiles.DEFAULTS[mode][key]})[key] == profiles.DEFAULTS[mode][key]
+
+
+def test_rings_that_cross_do_not_pass(spark):
+    box = [(0, 0), (20, 0), (20, 20), (0, 20), (0, 0)]
+    bow, small = [(2, 2), (9, 9), (9, 2), (2, 12), (2, 2)], [(12, 12), (12, 13), (14, 13), (14, 12), (12, 12)]
+    good = [(2, 14), (2, 18), (6, 18), (6, 14), (2, 14)]
+    real = lambda *rings: [[(float(x), float(y)) for x, y in ring] for ring in rings]
+    rows = [("r", 1, 1, 9, real(box, bow, good, small)), ("r", 1, 2, 9, real(bow, good))]
+    found = spark.createDataFrame(rows, "raster_id string, label int, component long, area long, rings array<array<struct<x:double,y:double>>>")
+    kept = vectorize.postprocess(found, profiles.resolve("regional")).collect()
+    assert [[sorted({tuple(p) for p in r}) for r in part] for k in kept for part in k.parts] == [[sorted(set(box)), sorted(set(good))]]
+    dip = [(0, 0), (10, -1.8), (20, 0), (20, 10), (10.5, 10), (10, -1), (9.5, 10), (0, 10), (0, 0)]
+    deep = spark.createDataFrame([("r", 1, 1, 9, real(dip))], found.schema)
+    ring = vectorize._rings(deep, 2.0, 4.0).select(F.col("rings")[0].alias("r"), G.ring_issues(F.col("rings")[0]).alias("bad")).first()
+    assert ring["bad"] == [] and [tuple(p) for p in ring["r"]] == dip
+
+
 def rows_of(columns, rows):
     def plain(v):
         return None if isinstance(v, float) and math.isnan(v) else f"{v:.6g}" if isinstance(v, float) else str(v)
