@@ -2,52 +2,39 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..storage import saved, shared_folder, shuffle_files_go
 
-SPACE = r"\x20\x09-\x0D"
-"""Bytes that part words: space, and tab to carriage return."""
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-"""Shuffle files go as soon as the table that needed them is written."""
 BUCKET_ROWS, MOST_BUCKETS = 200_000, 100_000
 """Rows in a bucket of a bucketed table, and the most buckets that Spark takes by default."""
+HOT_ROWS, HOT_KEYS = 1_000, 10_000
+"""A key is hot from this many rows on, and from one in ``HOT_KEYS`` of all rows; so there are at most ``HOT_KEYS``."""
+
+__all__ = ["bucketed", "discard", "hot_keys", "parts", "salted_join", "saved", "shared_folder", "table"]
+
 
+def hot_keys(sizes: DataFrame, keys: list[str], total: int | None) -> DataFrame:
+    """Of ``sizes`` (keys, copies) the hot keys with the number of ``salts`` that deal their rows out: at most ``HOT_KEYS`` rows."""
+    least = max(HOT_ROWS, -(-(total or 0) // HOT_KEYS))
+    return sizes.filter(F.col("copies") >= least).select(*keys, F.ceil(F.col("copies") / least).cast("int").alias("salts"))
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the setting is absent (a local session, as in tests) a folder of this process is made once and set.
+def salted_join(rows: DataFrame, keyed: DataFrame, keys: list[str], hot: DataFrame, spread: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keyed`` (one row for each key). Rows of hot keys are dealt out by ``salts`` and a hash of ``spread``.
+
+    ``hot`` comes from ``hot_keys``, so what is broadcast is bounded whatever the data; no key gathers more rows in a task than
+    that bound allows.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("TESSERAE_LOCAL_CHECKPOINT")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = os.environ["TESSERAE_LOCAL_CHECKPOINT"] = tempfile.mkdtemp(prefix="tesserae-")
-    return root.rstrip("/")
-
-
-@contextmanager
-def _shuffle_files_go(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: its lineage ends there, so a lost executor costs a reread."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    with _shuffle_files_go(spark):
-        df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    hot = F.broadcast(hot)
+    cold = rows.join(hot, keys, "left_anti").join(keyed, keys, how)
+    dealt = rows.join(hot, keys).withColumn("salt", F.pmod(F.xxhash64(spread), F.col("salts")).cast("int")).drop("salts")
+    copies = keyed.join(hot, keys).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return cold.unionByName(dealt.join(copies, [*keys, "salt"], how).drop("salt"))
 
 
 def bucketed(df: DataFrame, keys: list[str], rows: int, step: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
@@ -59,7 +46,7 @@ def bucketed(df: DataFrame, keys: list[str], rows: int, step: Callable[[DataFram
     count = min(MOST_BUCKETS, max(parts(df), -(-rows // BUCKET_ROWS)))
     unique = f"{name}_{uuid.uuid4().hex}"
     dealt = step(df.repartition(count, *keys))
-    with _shuffle_files_go(spark):
+    with shuffle_files_go(spark):
         dealt.write.option("compression", "zstd").option("path", f"{shared_folder(spark)}/{unique}").bucketBy(count, *keys).saveAsTable(unique, format="parquet")
     return spark.table(unique)
 

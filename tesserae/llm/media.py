@@ -16,11 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .rolling import slices
 
 RATE, UNIT = 8000, 64
 FRAME, HOP, FAN, REACH = 256, 128, 3, 15
@@ -89,7 +89,7 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
-        for a, b in _slices(texts):
+        for a, b in slices(texts, 4 << 20):
             data = [(x.as_py() or "").encode() for x in texts[a:b]]
             yield pa.RecordBatch.from_arrays(
                 [ids[a:b], pa.array([len(x) for x in data], pa.int64()), pa.array([to_wav(pad(x)) for x in data], pa.binary())],
@@ -97,16 +97,6 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _slices(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with at most 4 MB of text each, or one row."""
-    ends = np.cumsum([x.as_py() or 0 for x in pc.binary_length(column)])
-    a = 0
-    while a < len(ends):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
-        yield a, b
-        a = b
-
-
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []

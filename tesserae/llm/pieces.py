@@ -7,11 +7,16 @@ library that replays byte-pair merges from the same file may cut some words othe
 A space is written as U+2581, one more is put in front, and a character that no piece covers becomes its UTF-8 bytes
 (``<0x..>`` pieces). A U+2581 of the text itself also becomes bytes, so decoding gives every text back.
 
-The search keeps scores and back pointers for a window of boundaries no longer than the longest piece. Once all
-paths that survive in the window go back to one boundary, the ids before it are final: they are emitted and
-forgotten, so memory doesn't grow with the text. A run of non-spaces after a space mark always ends at such a
-boundary when no piece has a space mark behind another character; the ids of such runs are remembered, in a
-store of bounded size, as the search would find them again.
+The search keeps scores for a window of boundaries no longer than the longest piece, and the back pointers that
+survive. A boundary that the window has left and that no surviving path goes through is forgotten at once, with the
+boundaries that only led to it; as soon as all surviving paths go through one next boundary, the piece before it is
+final: its ids are committed and its pointers forgotten. Each boundary is counted in and out once, so time grows with
+the text. Only where paths never meet (a long run of one character may be cut in as many phases as its longest piece has
+characters) do back pointers, 24 bytes for each boundary, wait until the run ends.
+
+When no piece has a space mark behind another character, all paths meet before a space mark. So texts are
+searched run by run, and the ids that the search committed for a short run are remembered, in a store of bounded size, as it
+would commit them again.
 """
 
 from __future__ import annotations
@@ -24,11 +29,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .rolling import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -94,103 +99,78 @@ class Encoder:
     def fall_back(self, char: str) -> list[int]:
         return [self.vocab.byte_ids[b] for b in char.encode()] if self.vocab.byte_ids else [self.vocab.unknown]
 
-    def search(self, marked: str, literal: frozenset[int] = frozenset()) -> list[int]:
+    def search(self, marked: str, literal: frozenset[int] = frozenset()) -> array:
         """The ids of ``marked`` (spaces are marks already). ``literal``: places whose mark is the text's own."""
-        trie, missing = self.trie, self.vocab.unknown_score
-        out: list[int] = []
-        done, reach = 0, 0  # all before done is emitted; no piece begun so far goes beyond reach
-        best: dict[int, float] = {0: 0.0}
-        back: dict[int, tuple[int, int]] = {}  # boundary: where its last piece starts, its id or -1
-        n, check = len(marked), self.vocab.longest * 2
-
-        def emit(upto: int) -> None:
-            ids: list[list[int]] = []
-            at = upto
-            while at > done:
-                start, piece = back[at]
-                ids.append([piece] if piece >= 0 else self.fall_back(marked[start]))
-                at = start
-            for x in reversed(ids):
-                out.extend(x)
-
-        for i in range(n):
-            here = best[i]
-            node, j, single = trie, i, False
-            if i not in literal:
-                while j < n and j not in literal and (node := node[0].get(marked[j])) is not None:
-                    j += 1
-                    if (value := node[1]) is not None:
-                        single |= j == i + 1
-                        score = here + value[1]
-                        if j not in best or score > best[j]:
-                            best[j], back[j] = score, (i, value[0])
-            if not single:
-                score = here + missing
-                if i + 1 not in best or score > best[i + 1]:
-                    best[i + 1], back[i + 1] = score, (i, -1)
-                j = max(j, i + 1)
-            reach = max(reach, j)
-            if reach == i + 1 or i + 1 - done >= check:
-                meet = i + 1 if reach == i + 1 else self._meeting(best, back, i + 1, done)
-                if meet > done:
-                    emit(meet)
-                    for b in range(done, meet):
-                        best.pop(b, None)
-                        back.pop(b, None)
-                    done = meet
-        return out
-
-    def search_window(self, marked: str) -> list[int]:
-        """``search`` where the whole of ``marked`` lies in one window: one commitment, at its end."""
-        n, trie, missing = len(marked), self.trie[0], self.vocab.unknown_score
-        best, back, piece = [-1e300] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
-        best[0] = 0.0
-        for i in range(n):
-            here, follow, j = best[i], trie, i
-            node = follow.get(marked[i])
+        trie, missing, lag, n = self.trie[0], self.vocab.unknown_score, self.vocab.longest, len(marked)
+        out = array("i")
+        scores = [-1e300] * (lag + 1)  # of boundaries, in a ring: those before i - lag are out of the window
+        ring_from, ring_piece = [0] * (lag + 1), [0] * (lag + 1)
+        scores[0] = 0.0
+        origin, ids = array("q"), array("i")  # back pointers of boundaries from ``base`` on
+        kids, heir = array("i"), array("q")  # how many surviving boundaries lead back to one, and the sum of their places
+        base = done = 0  # all before done is committed
+        size = lag + 1
+        origin.append(-1), ids.append(-1), kids.append(0), heir.append(0)
+
+        for i in range(n + 1):
+            slot = i % size
+            if i:
+                start = ring_from[slot]
+                origin.append(start), ids.append(ring_piece[slot]), kids.append(0), heir.append(0)
+                kids[start - base] += 1
+                heir[start - base] += i
+                old = i - lag
+                if old >= done and not kids[old - base]:  # the window has left it and nothing survives behind it
+                    while old > done:
+                        up = origin[old - base]
+                        kids[up - base] -= 1
+                        heir[up - base] -= old
+                        if kids[up - base] or up > i - lag:
+                            break
+                        old = up
+                while done <= i - lag and kids[done - base] == 1:
+                    after = heir[done - base]
+                    piece = ids[after - base]
+                    out.append(piece) if piece >= 0 else out.extend(self.fall_back(marked[done]))
+                    done = after
+                if done - base > 4096 and 2 * (done - base) > len(origin):
+                    for x in (origin, ids, kids, heir):
+                        del x[: done - base]
+                    base = done
+            if i == n:
+                break
+            here, follow, j = scores[slot], trie, i
+            scores[slot] = -1e300
+            node = None if i in literal else follow.get(marked[i])
             if node is None or node[1] is None:
-                if here + missing > best[i + 1]:
-                    best[i + 1], back[i + 1], piece[i + 1] = here + missing, i, -1
+                to = (i + 1) % size
+                if here + missing > scores[to]:
+                    scores[to], ring_from[to], ring_piece[to] = here + missing, i, -1
             while node is not None:
                 j += 1
-                value = node[1]
-                if value is not None:
-                    score = here + value[1]
-                    if score > best[j]:
-                        best[j] = score
-                        back[j] = i
-                        piece[j] = value[0]
-                if j == n:
+                if (value := node[1]) is not None:
+                    to = j % size
+                    if (score := here + value[1]) > scores[to]:
+                        scores[to], ring_from[to], ring_piece[to] = score, i, value[0]
+                if j == n or j in literal:
                     break
                 node = node[0].get(marked[j])
-        out: list[int] = []
-        at = n
-        while at:
-            start = back[at]
-            if piece[at] >= 0:
-                out.append(piece[at])
-            else:
-                out.extend(reversed(self.fall_back(marked[start])))
-            at = start
-        out.reverse()
+        last, at = [], n
+        while at > done:
+            last.append(at)
+            at = origin[at - base]
+        for at in reversed(last):
+            piece = ids[at - base]
+            out.append(piece) if piece >= 0 else out.extend(self.fall_back(marked[origin[at - base]]))
         return out
 
-    @staticmethod
-    def _meeting(best: dict[int, float], back: dict[int, tuple[int, int]], now: int, done: int) -> int:
-        """The last boundary that the paths to all live boundaries (from now on) share."""
-        heads = {b for b in best if b >= now}
-        while len(heads) > 1 and (top := max(heads)) > done:
-            heads.discard(top)
-            heads.add(back[top][0])
-        return max(heads)
-
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit integers; of an empty text none."""
         if not text:
             return b""
         if not self.vocab.marks_lead:
             own = frozenset(m.start() + 1 for m in re.finditer(MARK, text))
-            return np.array(self.search(MARK + text.replace(" ", MARK), own), np.int32).tobytes()
+            return self.search(MARK + text.replace(" ", MARK), own).tobytes()
         runs = text.split(" ")
         if "" in runs:  # spaces side by side or at an end: they go with the run behind them
             joined, spaces = [], ""
@@ -207,7 +187,7 @@ class Encoder:
         if None in found:
             found = [self._learn(run) if ids is None else ids for run, ids in zip(runs, found, strict=True)]
         if rest:
-            found.append(array("i", self.search(rest)).tobytes())
+            found.append(self.search(rest).tobytes())
         return b"".join(found)
 
     def _learn(self, run: str) -> bytes:
@@ -216,11 +196,8 @@ class Encoder:
         if ids is None:
             ids = self.old.get(run)
         if ids is None:
-            marked = MARK + run.replace(" ", MARK)
-            if len(marked) <= 2 * self.vocab.longest and MARK not in run:
-                ids = array("i", self.search_window(marked)).tobytes()
-            else:
-                ids = array("i", self.search(marked, frozenset(m.start() + 1 for m in re.finditer(MARK, run)))).tobytes()
+            own = frozenset(m.start() + 1 for m in re.finditer(MARK, run)) if MARK in run else frozenset()
+            ids = self.search(MARK + run.replace(" ", MARK), own).tobytes()
         if len(run) <= 64:
             if len(self.young) >= self.remembered:
                 self.old, self.young = self.young, {}
@@ -261,15 +238,6 @@ def _encoder(shared, key: str) -> Encoder:
     return _ENCODERS[key]
 
 
-def _pieces_of(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)) if len(column) else []
-    a = 0
-    while a < len(ends):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
-        yield a, b
-        a = b
-
-
 def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL) -> DataFrame:
     """``doc_id, ids array<int>`` of every whole text. Null and empty texts have no ids; repeated rows are repeated.
 
@@ -283,7 +251,7 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared, key)
         for batch in batches:
-            for a, b in _pieces_of(batch.column(1)):
+            for a, b in slices(batch.column(1), 4 << 20):
                 found = [encoder.encode(x.as_py() or "") for x in batch.column(1)[a:b]]
                 offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
