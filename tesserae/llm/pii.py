@@ -9,7 +9,8 @@ confidence among its patterns that are trusted (support of at least ``MIN_SUPPOR
 ``MIN_CONFIDENCE``). Scores only grow, so rounds end when one adds no trusted pattern. Instances found by a trusted pattern are added as spans of the kind ``id``.
 
 Regular expressions use possessive loops, which match the same but neither recurse nor go back, and a lookbehind
-(or the end of the last match) where a match can't start inside a run, so their time grows with the text.
+(or the end of the last match) where a match can't start inside a run, so their time grows with the text. So does that of
+all else: what depends on the span before goes along the spans once, and pieces of a text are cut from chunks of it.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){
 WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 MIN_SUPPORT, MIN_CONFIDENCE, CONTEXT = 5, 0.7, 60
 SPANS = "array<struct<start:int,end:int,value:string,near:boolean>>"
-_CHUNK = 256  # matches put together before they join the rest, so that appending doesn't copy all of them each time
+_CHUNK = 256  # items put together before they join the rest, so that appending doesn't copy all of them each time
+_BITS = 8  # a text is cut into chunks of 2 ** _BITS code points
 
 
 def _digits(value: Column) -> Column:
@@ -66,6 +68,36 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _scan(items: Column, zero: Column, state: str, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """What ``step`` (state, item) -> (state, outcome) yields along ``items``, without nulls, as an array of ``kind``."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(a: Column, x: Column) -> Column:
+        now, out = step(a["s"], x)
+        return F.struct(now.cast(state).alias("s"), F.concat(a["out"], F.array_compact(F.array(out))).alias("out"))
+
+    def whole(all_: Column) -> Column:
+        def chunk(a: Column, i: Column) -> Column:
+            own = F.aggregate(F.slice(all_, i * _CHUNK + 1, F.lit(_CHUNK)), F.struct(a["s"].alias("s"), none.alias("out")), one)
+            return _let(own, lambda o: F.struct(o["s"].alias("s"), F.concat(a["out"], F.array(o["out"])).alias("out")))
+
+        start = F.struct(zero.cast(state).alias("s"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.floor(F.size(all_) / _CHUNK).cast("int")), start, chunk, lambda a: F.flatten(a["out"]))
+
+    return _let(items, whole)
+
+
+def _chunks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{1 << _BITS}}}+"), F.lit(0))
+
+
+def _cut(chunks: Column, start: Column, end: Column) -> Column:
+    """The code points from ``start`` to ``end`` of a text in chunks, in time that grows with their number alone."""
+    low = F.shiftright(start, _BITS)
+    near = F.array_join(F.slice(chunks, low + 1, F.shiftright(F.greatest(end - 1, start), _BITS) - low + 1), "")
+    return F.when(end > start, F.substr(near, start - F.shiftleft(low, _BITS) + 1, end - start)).otherwise("")
+
+
 def located(text: Column, pattern: str, valid: Callable[[Column], Column]) -> Column:
     """Valid matches of ``pattern`` with start and end in code points: what lies between matches gives their places.
 
@@ -74,22 +106,13 @@ def located(text: Column, pattern: str, valid: Callable[[Column], Column]) -> Co
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["pos"] + F.length(x["gap"])
+    def step(pos: Column, x: Column) -> tuple[Column, Column]:
+        start = pos + F.length(x["gap"])
         end = start + F.length(x["hit"])
         near = ~x["gap"].rlike(r"[^\x20\x09-\x0D]")
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value"), near.alias("near")))
-        return F.struct(end.alias("pos"), F.when(valid(x["hit"]), F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
+        return end, F.when(valid(x["hit"]), F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value"), near.alias("near")))
 
-    def whole(p: Column) -> Column:
-        def chunk(a: Column, i: Column) -> Column:
-            own = F.aggregate(F.slice(p, i * _CHUNK + 1, F.lit(_CHUNK)), F.struct(a["pos"].alias("pos"), F.array().cast(SPANS).alias("out")), step)
-            return _let(own, lambda o: F.struct(o["pos"].alias("pos"), F.concat(a["out"], F.array(o["out"])).alias("out")))
-
-        zero = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{SPANS}>").alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.floor(F.size(p) / _CHUNK).cast("int")), zero, chunk, lambda a: F.flatten(a["out"]))
-
-    return _let(pairs, whole)
+    return _scan(pairs, F.lit(0), "int", step, SPANS[6:-1])
 
 
 def _named(no: int) -> Callable[[Column], Column]:
@@ -106,38 +129,69 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*found))
 
 
+_MARKED = "struct<start:int,end:int,word:boolean,value:string,near:boolean,apart:boolean>"
+
+
+def _marked(words: Column, base: Column) -> Column:
+    """``words`` with ``apart``: no span of ``base`` overlaps. Both lie in the order of their starts, so one way along them finds
+    what began before a word, and the way back what begins within it."""
+
+    def item(start: Column, end: Column, word: bool, value: Column, near: Column, apart: Column) -> Column:
+        return F.struct(start.alias("start"), end.alias("end"), F.lit(word).alias("word"), value.alias("value"), near.alias("near"), apart.alias("apart"))
+
+    def again(x: Column, apart: Column) -> Column:
+        return F.struct(*(x[c].alias(c) for c in ("start", "end", "word", "value", "near")), apart.alias("apart"))
+
+    true = F.lit(True)
+    own = F.transform(words, lambda w: item(w["start"], w["end"], True, w["value"], w["near"], true))
+    others = F.transform(base, lambda b: item(b["start"], b["end"], False, F.lit(""), true, true))
+
+    def forth(far: Column, x: Column) -> tuple[Column, Column]:
+        return F.when(x["word"], far).otherwise(F.greatest(far, x["end"])), again(x, far <= x["start"])
+
+    def back(next_: Column, x: Column) -> tuple[Column, Column]:
+        return F.when(x["word"], next_).otherwise(x["start"]), F.when(x["word"], again(x, x["apart"] & (next_ >= x["end"])))
+
+    there = _scan(F.array_sort(F.concat(own, others)), F.lit(0), "int", forth, _MARKED)
+    both = F.reverse(_scan(F.reverse(there), F.lit((1 << 31) - 1), "int", back, _MARKED))
+    return F.when(F.size(base) == 0, own).otherwise(both)
+
+
 def _words(text: Column, base: Column) -> Column:
     """Runs of words with digits that no base span touches, then the words within them, without punctuation around them."""
-    spans = F.when(text.rlike("[0-9]"), located(text, WORD, lambda v: F.lit(True))).otherwise(F.array().cast(SPANS))
 
     def bare(s: Column) -> Column:
         lead = F.length(s["value"]) - F.length(F.regexp_replace(s["value"], r"^[^\p{L}0-9]++", ""))
         value = F.regexp_replace(s["value"], r"^[^\p{L}0-9]++|[^\p{L}0-9]++$", "")
-        start, end = s["start"] + lead, s["start"] + lead + F.length(value)
-        apart = ~F.exists(base, lambda b: (b["start"] < end) & (start < b["end"]))
-        return F.struct(start.alias("start"), end.alias("end"), value.alias("value"), s["near"].alias("near"), apart.alias("apart"))
+        start = s["start"] + lead
+        return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), s["near"].alias("near"))
 
-    def joined(words: Column) -> Column:
+    def joined(words: Column, chunks: Column) -> Column:
         follows = F.transform(words, lambda w, i: F.struct(*(w[c].alias(c) for c in ("start", "end", "value", "apart")), ((i > 0) & w["near"] & F.get(words, i - 1)["apart"]).alias("within")))
-        return _let(follows, lambda f: F.concat(runs(f), plain(F.filter(f, lambda w: w["apart"] & w["within"]))))
+        return _let(follows, lambda f: F.concat(runs(f, chunks), plain(F.filter(f, lambda w: w["apart"] & w["within"]))))
 
     def plain(words: Column) -> Column:
         return F.transform(words, lambda w: F.struct(*(w[c].alias(c) for c in ("start", "end", "value"))))
 
-    def runs(words: Column) -> Column:
+    def runs(words: Column, chunks: Column) -> Column:
         breaks = F.filter(F.transform(words, lambda w, i: F.when(~(w["apart"] & w["within"]), i)), lambda i: i.isNotNull())
 
         def run(at: Column) -> Column:
             def one(i: Column, k: Column) -> Column:
                 w, last = F.get(words, i), F.get(words, F.coalesce(F.get(at, k + 1), F.size(words)) - 1)
-                value = F.when(last["start"] == w["start"], w["value"]).otherwise(F.substr(text, w["start"] + 1, last["end"] - w["start"]))
+                value = F.when(last["start"] == w["start"], w["value"]).otherwise(_cut(chunks, w["start"], last["end"]))
                 return F.when(w["apart"], F.struct(w["start"].alias("start"), last["end"].alias("end"), value.alias("value")))
 
             return F.array_compact(F.transform(at, one))
 
         return _let(breaks, run)
 
-    return _let(F.transform(spans, bare), joined)
+    def whole() -> Column:
+        bares = F.transform(located(text, WORD, lambda v: F.lit(True)), bare)
+        return _let(_let(bares, lambda w: _let(base, lambda b: _marked(w, b))), lambda w: _let(_chunks(text), lambda c: joined(w, c)))
+
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    return F.when(text.rlike("[0-9]"), whole()).otherwise(none)
 
 
 def _patterns(before: Column) -> Column:
@@ -148,6 +202,13 @@ def _patterns(before: Column) -> Column:
     return F.array_compact(F.array(two, F.when(last.rlike(r"[\p{L}0-9][:=#]+$"), last)))
 
 
+def _widest(spans: Column) -> Column:
+    """Spans that lie in no other, in the order of their starts."""
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus"))))
+    step = lambda far, s: (F.greatest(far, -s["minus"]), F.when(-s["minus"] > far, F.struct(s["start"].alias("start"), (-s["minus"]).alias("end"))))
+    return _scan(order, F.lit(-1), "int", step, "struct<start:int,end:int>")
+
+
 def trusted_patterns(instances: DataFrame, support: int = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """The patterns trusted in the end over ``instances`` (pattern, value, seed): rounds go on until one adds no pattern.
 
@@ -175,20 +236,26 @@ def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     only spans and contexts are kept.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    rows = rows.withColumn("words", _words(F.col("text"), F.col("base")))
-    before = lambda s: F.substr("text", F.greatest(F.lit(1), s["start"] + 1 - CONTEXT), F.least(s["start"], F.lit(CONTEXT)))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("known", base_spans(F.col("text")))
+    rows = rows.withColumn("words", _words(F.col("text"), F.col("known")))
 
-    def near(spans: str, seed: bool) -> Column:
-        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(seed).alias("seed"), _patterns(before(s)).alias("patterns")))
+    def as_seen(spans: str, seed: bool) -> Column:
+        return F.transform(spans, lambda s: F.struct(*(s[n].alias(n) for n in ("start", "end", "value")), F.lit(seed).alias("seed")))
 
+
+    def instances(chunks: Column) -> Column:
+        before = lambda s: _cut(chunks, F.greatest(F.lit(0), s["start"] - CONTEXT), s["start"])
+        seen = F.concat(as_seen("known", True), as_seen("words", False))
+        return F.transform(seen, lambda s: F.struct(*(s[n].alias(n) for n in ("start", "end", "value", "seed")), _patterns(before(s)).alias("patterns")))
+
+    some = (F.size("known") > 0) | (F.size("words") > 0)
     kept = saved(
         rows.select(
             F.monotonically_increasing_id().alias("row"),
             "doc_id",
             F.xxhash64("text").alias("text_key"),
-            F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind_no"].alias("kind_no"), s["end"].alias("end"))).alias("base"),
-            F.concat(near("base", True), near("words", False)).alias("instances"),
+            F.transform("known", lambda s: F.struct(s["start"].alias("start"), s["kind_no"].alias("kind_no"), s["end"].alias("end"))).alias("base"),
+            F.when(some, _let(_chunks(F.col("text")), instances)).alias("instances"),
         ),
         "pii-spans",
     )
@@ -196,8 +263,7 @@ def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     trusted = trusted_patterns(each.select("pattern", "value", "seed"))
     new = each.filter("not seed").join(trusted.select("pattern"), "pattern", "left_semi")
     added = new.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("added"))
-    wider = lambda o, s: (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (o != s)
-    added = added.withColumn("added", F.filter("added", lambda s: ~F.exists("added", lambda o: wider(o, s))))
+    added = added.withColumn("added", _widest(F.col("added")))
     none = F.array().cast("array<struct<start:int,end:int>>")
     return kept.drop("instances").join(added, "row", "left").select("doc_id", "text_key", "base", F.coalesce("added", none).alias("added"))
 
@@ -218,15 +284,19 @@ def _listed(spans: Column) -> Column:
 def redact(text: Column, spans: Column) -> Column:
     """``text`` with each span (in order of start) replaced by ``[KIND]``; of spans that overlap, the first names the rest."""
 
-    def step(a: Column, s: Column) -> Column:
-        fresh = s["start"] >= a["pos"]
-        name = F.concat(F.lit("["), F.upper(kind_name(s["kind_no"])), F.lit("]"))
-        gap = F.substr(text, a["pos"] + 1, s["start"] - a["pos"])
-        out = F.when(fresh, F.concat(a["out"], gap, name)).otherwise(a["out"])
-        return F.struct(F.greatest(a["pos"], s["end"]).alias("pos"), out.alias("out"))
+    def step(pos: Column, s: Column) -> tuple[Column, Column]:
+        kept = F.struct(pos.alias("gap"), s["start"].alias("start"), s["kind_no"].alias("kind_no"))
+        return F.greatest(pos, s["end"]), F.when(s["start"] >= pos, kept)
+
+    def pieces(chunks: Column, own: Column) -> Column:
+        named = F.transform(
+            _scan(own, F.lit(0), "int", step, "struct<gap:int,start:int,kind_no:int>"),
+            lambda s: F.concat(_cut(chunks, s["gap"], s["start"]), F.lit("["), F.upper(kind_name(s["kind_no"])), F.lit("]")),
+        )
+        tail = _cut(chunks, F.coalesce(F.array_max(F.transform(own, lambda s: s["end"])), F.lit(0)), F.length(text))
+        return F.array_join(F.concat(named, F.array(tail)), "")
 
-    zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    return F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], F.substr(text, a["pos"] + 1)))
+    return _let(_chunks(text), lambda c: _let(spans, lambda s: pieces(c, s)))
 
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
