@@ -35,7 +35,7 @@ GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){
 WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 MIN_SUPPORT, MIN_CONFIDENCE, CONTEXT = 5, 0.7, 60
 SPANS = "array<struct<start:int,end:int,value:string,near:boolean>>"
-_CHUNK = 256  # items put together before they join the rest, so that appending doesn't copy all of them each time
+_CHUNK = 64  # items of a scan whose outcomes are gathered by one aggregate, which copies what it holds at each step
 _BITS = 8  # a text is cut into chunks of 2 ** _BITS code points
 
 
@@ -69,7 +69,10 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _scan(items: Column, zero: Column, state: str, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
-    """What ``step`` (state, item) -> (state, outcome) yields along ``items``, without nulls, as an array of ``kind``."""
+    """What ``step`` (state, item) -> (state, outcome) yields along ``items``, without nulls, as an array of ``kind``.
+
+    One way along finds the state before each chunk; then the chunks' outcomes are gathered, each by itself.
+    """
     none = F.array().cast(f"array<{kind}>")
 
     def one(a: Column, x: Column) -> Column:
@@ -77,12 +80,16 @@ def _scan(items: Column, zero: Column, state: str, step: Callable[[Column, Colum
         return F.struct(now.cast(state).alias("s"), F.concat(a["out"], F.array_compact(F.array(out))).alias("out"))
 
     def whole(all_: Column) -> Column:
-        def chunk(a: Column, i: Column) -> Column:
-            own = F.aggregate(F.slice(all_, i * _CHUNK + 1, F.lit(_CHUNK)), F.struct(a["s"].alias("s"), none.alias("out")), one)
-            return _let(own, lambda o: F.struct(o["s"].alias("s"), F.concat(a["out"], F.array(o["out"])).alias("out")))
+        part = lambda i: F.slice(all_, i * _CHUNK + 1, F.lit(_CHUNK))
+
+        def ahead(a: Column, i: Column) -> Column:
+            now = F.aggregate(part(i), a["s"], lambda s, x: step(s, x)[0].cast(state))
+            return F.struct(now.alias("s"), F.concat(a["starts"], F.array(a["s"])).alias("starts"))
 
-        start = F.struct(zero.cast(state).alias("s"), F.array().cast(f"array<array<{kind}>>").alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.floor(F.size(all_) / _CHUNK).cast("int")), start, chunk, lambda a: F.flatten(a["out"]))
+        first = F.struct(zero.cast(state).alias("s"), F.array().cast(f"array<{state}>").alias("starts"))
+        starts = F.aggregate(F.sequence(F.lit(0), F.floor(F.size(all_) / _CHUNK).cast("int")), first, ahead, lambda a: a["starts"])
+        outcomes = lambda s, i: F.aggregate(part(i), F.struct(s.alias("s"), none.alias("out")), one, lambda a: a["out"])
+        return F.flatten(F.transform(starts, outcomes))
 
     return _let(items, whole)
 
