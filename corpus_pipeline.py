@@ -1,8 +1,9 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read by the next.
 
-Every stage but the last returns the columns of ``documents``. Null texts count as empty, repeated rows are treated alike,
-an empty table stays empty, and other columns pass through whatever their names. Rows without an id share the fate of that
-id in language ID and mixing; near duplicates can't group them and keep them.
+Every stage but the last returns the columns of ``documents``. Each row is decided by itself: rows that share an id but not a
+text are different documents, and rows without an id are treated like any other. Null texts count as empty, an empty table
+stays empty, and other columns pass through whatever their names. Of rows that repeat an id and a text the near-duplicate
+stage keeps one.
 """
 
 from __future__ import annotations
@@ -13,29 +14,39 @@ from pyspark.sql import functions as F
 from tesserae.llm import jaccard, langid, mixing, pieces, pii
 from tesserae.llm.common import saved, table
 
-#: A document goes if its language is undecided or less likely than this (four languages have 0.25 each by chance).
-LEAST_SCORE = 0.4
+#: A document goes if its language is undecided, or less likely than by chance and this share of what is left above chance.
+LEAST_SHARE = 0.2
 
 
-def _chosen(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose ``doc_id``, null like any other, is one of ``chosen``."""
-    chosen = chosen.select(F.col("doc_id").alias("chosen_id"))
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["chosen_id"]), "left_semi")
+def _own(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*(F.col("own")[c].alias(c) for c in docs.columns))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the network tells; it learns from the labelled ones that are not held out."""
+    """Documents whose language the network tells; it learns from the labelled ones that are not held out. Rows stay where they are."""
     net = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))
-    told = langid.predict(docs, net).filter((F.col("lang_pred") != langid.UNDECIDED) & (F.col("score") >= LEAST_SCORE))
-    return _chosen(docs, told)
+    chance = 1 / max(1, len(net.names))
+    least = chance + LEAST_SHARE * (1 - chance)
+    return _own(langid.with_language(docs, net).filter((F.col("lang_pred") != langid.UNDECIDED) & (F.col("score") >= least)), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group (links by five-word shingles, similarity of 0.8 or more): that with the smallest id."""
-    named = docs.filter(F.col("doc_id").isNotNull())
-    kept = jaccard.jaccard_components(named, 5, 80, 100).filter("doc_id = component_id").select("doc_id").distinct()
-    first = named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return first.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One document of each group (links by five-word shingles, similarity of 0.8 or more): that with the smallest id.
+
+    Without an id counts as the greatest; of one id the smaller hash of the text. Of rows that repeat both, the one whose
+    other columns come first by a hash stays.
+    """
+    told = jaccard.jaccard_components(docs, 5, 80, 100).filter("first").select("doc_id", "text_key").distinct()
+    told = saved(told.select(F.coalesce("doc_id", F.lit(-1)).alias("id_key"), F.col("doc_id").isNull().alias("lost"), "text_key"), "near-first")
+    id_ = F.col("doc_id").cast("long")
+    rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.xxhash64(F.to_json(F.struct(*rest))) if rest else F.lit(0)
+    keyed = docs.select(
+        F.struct(*docs.columns).alias("own"), F.coalesce(id_, F.lit(-1)).alias("id_key"), id_.isNull().alias("lost"),
+        F.xxhash64(F.col("text").cast("string")).alias("text_key"), order.alias("order"),
+    )
+    key = ["id_key", "lost", "text_key"]
+    return _own(keyed.join(told, key, "left_semi").groupBy(*key).agg(F.min_by("own", "order").alias("own")), docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,12 +66,13 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the default mixture draws in at most one epoch."""
-    return _chosen(docs, mixing.mix(docs, max_epochs=1))
+    return mixing.mixed_rows(docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, ids`` of every whole text."""
-    return pieces.encode_texts(docs)
+    """``doc_id, n_ids, ids, decoded_sha256`` of every whole text: its ids, and a digest of the text decoded from them."""
+    done = pieces.decode_ids(pieces.encode_texts(docs), keep_ids=True)
+    return done.select("doc_id", "n_ids", "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 
 STAGES = [

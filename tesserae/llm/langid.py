@@ -7,8 +7,8 @@ follows the gradient back through time (Adam, cross entropy at each position).
 
 The gates are piecewise linear (``clip(x / 4 + 1 / 2, 0, 1)``) and the candidate state is ``x / (1 + |x|)``.
 
-Fitting sees a bounded sample: ``PER_LANGUAGE`` windows, one for each chosen document, documents being chosen and
-windows placed by hashes of their text. Prediction covers every byte of every document.
+Fitting sees a bounded sample: at most ``PER_LANGUAGE`` windows of a language and ``MOST_WINDOWS`` in all, one for each chosen
+document, documents being chosen and windows placed by hashes of their text. Prediction covers every byte of every document.
 """
 
 from __future__ import annotations
@@ -22,11 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import table
+from .rolling import slices
 
 WINDOW, HIDDEN = 128, 8
-PER_LANGUAGE, LANGUAGES, STEPS, BATCH, TRAIN_WIDTH = 600, 64, 260, 128, 64
+PER_LANGUAGE, MOST_WINDOWS, STEPS, BATCH, TRAIN_WIDTH = 600, 40_000, 260, 128, 64
 _ROWS = 2048  # windows run together
 UNDECIDED = "und"
 
@@ -189,6 +191,29 @@ def probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
 _NETWORKS: dict[int, Network] = {}
 
 
+def _predicting(net: Network):
+    """A function from a column of texts to slices of it with their languages and scores."""
+    data = net.dump()
+    key = zlib.crc32(data)
+
+    def told(column: pa.Array) -> Iterator[tuple[int, int, pa.Array, pa.Array]]:
+        if key not in _NETWORKS:
+            _NETWORKS.clear()
+            _NETWORKS[key] = Network.load(data)
+        own = _NETWORKS[key]
+        for a, b in slices(column):  # about a megabyte at once
+            texts, letters = [], []
+            for x in column[a:b].to_pylist():
+                letters.append(any(map(str.isalpha, x or "")))
+                texts.append(x.encode() if letters[-1] else b"")
+            p = probabilities(own, texts)
+            known = np.array(letters, bool) & bool(own.names)
+            names = [own.names[i] if k else UNDECIDED for i, k in zip(p.argmax(axis=1), known, strict=True)]
+            yield a, b, pa.array(names, pa.string()), pa.array(np.where(known, np.clip(p.max(axis=1), 0, 1), 0.0), pa.float64())
+
+    return told
+
+
 def predict(df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score`` of every whole text.
 
@@ -196,61 +221,54 @@ def predict(df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
     name of equally likely languages. Rows stand alone: repeated rows repeat, no shuffle. A
     column of another name is not read.
     """
-    data = net.dump()
-    key = zlib.crc32(data)
+    told = _predicting(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _NETWORKS:
-            _NETWORKS.clear()
-            _NETWORKS[key] = Network.load(data)
-        own = _NETWORKS[key]
         for batch in batches:
-            a, n = 0, batch.num_rows
-            while a < n:
-                texts, letters, size = [], [], 0
-                while a + len(texts) < n and size < 1 << 20:  # about a megabyte at once
-                    x = batch.column(1)[a + len(texts)].as_py() or ""
-                    letters.append(any(map(str.isalpha, x)))
-                    texts.append(x.encode() if letters[-1] else b"")
-                    size += len(texts[-1]) + 1
-                p = probabilities(own, texts)
-                best = p.argmax(axis=1)
-                known = np.array(letters) & bool(own.names)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0)[a : a + len(texts)],
-                        pa.array([own.names[b] if k else UNDECIDED for b, k in zip(best, known, strict=True)], pa.string()),
-                        pa.array(np.where(known, np.clip(p.max(axis=1), 0, 1), 0.0), pa.float64()),
-                    ],
-                    ["doc_id", "lang_pred", "score"],
-                )
-                a += len(texts)
+            for a, b, names, scores in told(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], names, scores], ["doc_id", "lang_pred", "score"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def with_language(df: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
+    """``own, lang_pred, score``: each row of ``df`` as a struct, whatever its columns are called, beside what ``predict`` says."""
+    told, at = _predicting(net), df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, names, scores in told(batch.column(0).field(at)):
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], names, scores], ["own", "lang_pred", "score"])
+
+    kinds = StructType([StructField("own", df.schema, False), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return df.select(F.struct(*df.columns).alias("own")).mapInArrow(run, kinds)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def sample(df: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> list[tuple[bytes, str]]:
-    """At most ``per_language`` windows of each of the first ``LANGUAGES`` languages by number of documents.
+    """At most ``per_language`` windows of each language, and fewer of each where those would be more than ``MOST_WINDOWS``.
 
     Documents come in the order of a hash of their text, equal texts once; the window's place follows from
     that hash. Texts are thinned to about three times what is needed before they are ranked, by the same hash, so a language with
     a third of all rows isn't gathered in one task. The share follows from the number of different texts: copies share a hash.
+    More than ``MOST_WINDOWS`` languages are refused: none is left out silently.
     """
     text = F.col(text_col).cast("string")
     rows = df.filter(F.col(lang_col).isNotNull() & text.rlike(r"\p{L}")).select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"))
     hashed = rows.withColumn("h", F.xxhash64("text"))
-    texts = hashed.groupBy("lang", "h").agg(F.count("*").alias("n")).groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
-    n = {r["lang"]: r["texts"] for r in texts.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    texts = hashed.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("texts"))
+    n = {r["lang"]: r["texts"] for r in texts.limit(MOST_WINDOWS + 1).collect()}
     if not n:
         return []
-    share = F.lit(0.0)
-    for name, count in n.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, 3 * per_language / count))).otherwise(share)
+    if len(n) > MOST_WINDOWS:
+        raise ValueError(f"more than {MOST_WINDOWS} languages")
+    per_language = max(1, min(per_language, MOST_WINDOWS // len(n)))
+    shares = F.broadcast(df.sparkSession.createDataFrame([(k, min(1.0, 3 * per_language / c)) for k, c in n.items()], "lang string, share double"))
+    share, hashed = F.col("share"), hashed.join(shares, "lang")
     thin = hashed.filter(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))
     place = F.pmod(F.shiftright("h", 20), F.greatest(F.lit(1), F.length("text") - TRAIN_WIDTH)).cast("int") + 1
     windows = thin.select("lang", "h", F.substr("text", place, F.lit(TRAIN_WIDTH)).alias("w")).distinct()

@@ -28,9 +28,13 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+_NAME = "^[^0-9./:_-]+"
+
+
 def domain_of(source: Column) -> Column:
-    """The default domain of a source: the first four characters of its name."""
-    return F.substring(source, 1, 4)
+    """The default domain of a source: its name before the first digit or separator, else ``?``."""
+    name = F.regexp_extract(source, _NAME, 0)
+    return F.when(name != "", name).otherwise("?")
 
 
 def _weight(col: Column, weights: Mapping[str, int]) -> Column:
@@ -77,6 +81,48 @@ def leaf_budgets(
     ).withColumn("rest", F.col("budget") - F.col("full") * F.col("tokens"))
 
 
+def _leaf(df: DataFrame, domain: Column | None) -> dict[str, Column]:
+    src = F.coalesce(F.col("source").cast("string"), F.lit("?"))
+    return {
+        "domain": domain_of(src) if domain is None else F.coalesce(domain, F.lit("?")),
+        "lang": F.coalesce(F.col("lang").cast("string"), F.lit("?")),
+        "source": src,
+    }
+
+
+def _key(seed: int, epoch: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(seed), epoch, F.col("doc_id").cast("long")))
+
+
+def draws(docs: DataFrame, fraction: float, max_epochs: int, seed: int, weights: Mapping[str, Mapping[str, int]]) -> DataFrame:
+    """For each leaf of ``docs`` (doc_id, domain, lang, source, n_tokens): ``leaf_budget``, ``full`` epochs and the ``last`` key of
+    one more epoch, null if it draws nothing.
+
+    A leaf's documents are dealt out by leaf and the first three digits of their digest, so a leaf with a third of all rows is
+    4,096 groups; only their sums are accumulated over a leaf.
+    """
+    leaves = saved(docs.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), "mix-leaves")
+    budgets = saved(leaf_budgets(leaves, fraction, max_epochs, weights), "mix-budgets")
+    keyed = docs.join(budgets, list(LEVELS)).withColumn("key", _key(seed, F.col("full") + 1)).withColumn("slice", F.substring("key", 1, 3))
+    group = [*LEVELS, "slice"]
+    sums = keyed.groupBy(*group).agg(F.sum("n_tokens").alias("slice_tokens"))
+    over = Window.partitionBy(*LEVELS).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("start", F.coalesce(F.sum("slice_tokens").over(over), F.lit(0))).drop("slice_tokens")
+    run = F.sum("n_tokens").over(Window.partitionBy(*group).orderBy("key"))  # equal keys count together
+    drawn = keyed.withColumn("run", run).join(starts, group).filter(F.col("start") + F.col("run") <= F.col("rest"))
+    last = drawn.groupBy(*group).agg(F.max("key").alias("last")).groupBy(*LEVELS).agg(F.max("last").alias("last"))
+    return budgets.join(last, list(LEVELS), "left").select(*LEVELS, F.col("budget").alias("leaf_budget"), "full", "last")
+
+
+def _epochs(seed: int) -> Column:
+    return (F.col("full") + F.coalesce((_key(seed, F.col("full") + 1) <= F.col("last")).cast("long"), F.lit(0))).cast("long")
+
+
+def _prepared(df: DataFrame, domain: Column | None) -> DataFrame:
+    leaf = _leaf(df, domain)
+    return saved(df.select(F.col("doc_id").cast("long").alias("doc_id"), *(leaf[x].alias(x) for x in LEVELS), n_words(F.col("text")).alias("n_tokens")), "mix-docs")
+
+
 def mix(
     df: DataFrame,
     fraction: float = FRACTION,
@@ -89,41 +135,31 @@ def mix(
 
     ``fraction`` of all tokens (words) is the budget. Weights are positive integers by level and name, else 1.
     Null language or source is a leaf named ``?``; null or empty texts count no token and come along with an epoch's
-    prefix; rows with one doc_id are chosen or left together; an empty table gives no row; extra columns
-    are not read. A leaf's documents are dealt out by leaf and the first three digits of their digest,
-    so a leaf with a third of all rows is 4,096 groups; only their sums are accumulated over a leaf.
+    prefix; rows of one leaf with one doc_id (null as any other) are chosen or left together; an empty table gives no row; extra
+    columns are not read.
     """
-    weights = {"lang": LANGUAGE_WEIGHTS} if weights is None else weights
-    src = F.coalesce(F.col("source").cast("string"), F.lit("?"))
-    docs = saved(
-        df.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            (domain_of(src) if domain is None else F.coalesce(domain, F.lit("?"))).alias("domain"),
-            F.coalesce(F.col("lang").cast("string"), F.lit("?")).alias("lang"),
-            src.alias("source"),
-            n_words(F.col("text")).alias("n_tokens"),
-        ),
-        "mix-docs",
-    )
-    leaves = saved(docs.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), "mix-leaves")
-    budgets = saved(leaf_budgets(leaves, fraction, max_epochs, weights), "mix-budgets")
-    keyed = (
-        docs.join(budgets, list(LEVELS))
-        .withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.col("full") + 1, "doc_id")))
-        .withColumn("slice", F.substring("key", 1, 3))
-    )
-    group = [*LEVELS, "slice"]
-    sums = keyed.groupBy(*group).agg(F.sum("n_tokens").alias("slice_tokens"))
-    over = Window.partitionBy(*LEVELS).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("start", F.coalesce(F.sum("slice_tokens").over(over), F.lit(0))).drop("slice_tokens")
-    run = F.sum("n_tokens").over(Window.partitionBy(*group).orderBy("key", "doc_id"))  # equal keys count together
-    return (
-        keyed.withColumn("run", run)
-        .join(starts, group)
-        .withColumn("epochs", F.col("full") + F.when(F.col("start") + F.col("run") <= F.col("rest"), 1).otherwise(0))
-        .filter("epochs > 0")
-        .select("doc_id", *LEVELS, "n_tokens", F.col("epochs").cast("long").alias("epochs"), F.col("budget").alias("leaf_budget"))
-    )
+    docs = _prepared(df, domain)
+    told = saved(draws(docs, fraction, max_epochs, seed, {"lang": LANGUAGE_WEIGHTS} if weights is None else weights), "mix-draws")
+    return docs.join(told, list(LEVELS)).withColumn("epochs", _epochs(seed)).filter("epochs > 0").select("doc_id", *LEVELS, "n_tokens", "epochs", "leaf_budget")
+
+
+def mixed_rows(
+    df: DataFrame,
+    fraction: float = FRACTION,
+    seed: int = SEED,
+    weights: Mapping[str, Mapping[str, int]] | None = None,
+    domain: Column | None = None,
+) -> DataFrame:
+    """The rows of ``df`` that ``mix`` draws in at most one epoch, with all their columns.
+
+    Each row is decided by its own leaf and key against what its leaf draws, so texts are not joined by id; where the leaves are
+    many, rows are joined with them by leaf.
+    """
+    told = draws(_prepared(df, domain), fraction, 1, seed, {"lang": LANGUAGE_WEIGHTS} if weights is None else weights)
+    told = saved(told.select(*(F.col(x).alias(f"mix_{x}") for x in LEVELS), "full", "last"), "mix-draws")
+    leaf = _leaf(df, domain)
+    rows = df.select(F.struct(*df.columns).alias("own"), F.col("doc_id").cast("long").alias("doc_id"), *(leaf[x].alias(f"mix_{x}") for x in LEVELS))
+    return rows.join(told, [f"mix_{x}" for x in LEVELS]).filter(_epochs(seed) > 0).select(*(F.col("own")[c].alias(c) for c in df.columns))
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +187,7 @@ u{depth + 1} AS (SELECT u{depth}.* EXCLUDE (got), g{depth}.got FROM u{depth} JOI
 
 OP10_SQL = rf"""
 WITH docs AS (
-  SELECT doc_id::BIGINT AS doc_id, substr(coalesce(source, '?'), 1, 4) AS domain, coalesce(lang, '?') AS lang,
+  SELECT doc_id::BIGINT AS doc_id, coalesce(nullif(regexp_extract(coalesce(source, '?'), '{_NAME}'), ''), '?') AS domain, coalesce(lang, '?') AS lang,
     coalesce(source, '?') AS source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n_tokens
   FROM documents),
 leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM docs GROUP BY ALL),

@@ -261,8 +261,8 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def decode_ids(df: DataFrame, path: str = MODEL) -> DataFrame:
-    """``doc_id, ids_sha256, n_ids, text`` of rows with ``ids``; null ids are read as none."""
+def decode_ids(df: DataFrame, path: str = MODEL, keep_ids: bool = False) -> DataFrame:
+    """``doc_id, ids_sha256, n_ids, text`` of rows with ``ids``, and those with ``keep_ids``; null ids are read as none."""
     shared = df.sparkSession.sparkContext.broadcast(load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,18 +276,20 @@ def decode_ids(df: DataFrame, path: str = MODEL) -> DataFrame:
                 b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + (1 << 19), "right")) - 1)
                 cuts = offsets[a : b + 1] - offsets[a]
                 ids = values[offsets[a] : offsets[b]].astype("<i4")
+                kept = {"ids": lists[a:b]} if keep_ids else {}
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0)[a:b],
                         pa.array([hashlib.sha256(ids[x:y].tobytes()).hexdigest() for x, y in zip(cuts, cuts[1:], strict=False)], pa.string()),
                         pa.array(np.diff(cuts), pa.int64()),
                         pa.array(decoder.decode(ids, cuts), pa.string()),
+                        *kept.values(),
                     ],
-                    ["doc_id", "ids_sha256", "n_ids", "text"],
+                    ["doc_id", "ids_sha256", "n_ids", "text", *kept],
                 )
                 a = b
 
-    return df.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids_sha256 string, n_ids long, text string")
+    return df.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids_sha256 string, n_ids long, text string" + (", ids array<int>" if keep_ids else ""))
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
