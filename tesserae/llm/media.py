@@ -142,9 +142,9 @@ def read_media(df: DataFrame) -> DataFrame:
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole text of ``documents`` stored, read back and fingerprinted; ``feature`` digests the fingerprint."""
+    """Every whole text of ``documents`` stored, read back and fingerprinted; ``feature`` digests the time-coded array ``fingerprint``."""
     done = read_media(write_media(table(spark, sf_dir, "documents")))
     feature = F.concat_ws(":", F.lit("pairs"), F.size("fingerprint"), F.sha2(F.array_join("fingerprint", ","), 256))
     return done.select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature")
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "fingerprint"
     )
