@@ -3,11 +3,14 @@
 An ARC file starts with a version block whose header line is ``filedesc://name ip date text/plain length`` (version
 1) or that with result code, checksum, location, offset and file name before the length (version 2); the next two
 lines state the version and the field names. Each record is such a header line, exactly the declared number of
-bytes, and a line feed. The converter reads the version first, then parses each header line by it.
+bytes, and a line feed. The converter reads the version first, then parses each header line by it; spaces in the URL or
+the content type, which some writers left in, are told by the number of fields.
 
 A converted record keeps the URL, turns the 14-digit date into a ``WARC-Date``, and gets a ``WARC-Record-ID`` derived
-from its file, offset and URL, block and payload digests (SHA-256), and a type: ``response``, or ``revisit`` with the
-id, URL and date of the record whose equal payload stands earliest. A revisit's block is the HTTP header alone.
+from its file's name, offset and URL, block and payload digests (SHA-256), and a type: ``response`` for HTTP, else ``resource``
+with the content type that the header line states; or ``revisit`` with the id, URL and date of the record whose equal payload
+has the smallest page id. A revisit's block is the HTTP header alone. File names must differ, as those of ``write_arc`` do:
+each has the numbers of its task and of its place in it.
 
 Archives are rows of bytes (``name, content``), at most ``SEGMENT`` bytes unless one record is longer; they are
 written with Spark's own writer into the shared folder, so any executor can read them again.
@@ -16,6 +19,7 @@ written with Spark's own writer into the shared folder, so any executor can read
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import uuid
 from collections.abc import Iterator
@@ -23,10 +27,11 @@ from datetime import datetime
 from urllib.parse import quote
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import hot_keys, salted_join, saved, table
 
 SEGMENT = 2 << 20
 LEAST = 100  # bytes of payload from which equal payloads are revisits
@@ -61,30 +66,43 @@ def parse_arc(data: bytes) -> Iterator[dict]:
     """The records behind the version block: url, ip, date, content_type, offset and block."""
     at, version, names = 0, 0, []
     while at < len(data):
+        if data[at : at + 1] in (b"\n", b"\r"):  # more line feeds than one behind a record
+            at += 1
+            continue
         end = data.index(b"\n", at)
-        values = data[at:end].decode().split(" ")
+        values = data[at:end].decode("utf-8", "replace").rstrip("\r").split(" ")
         length = int(values[-1])
         block = data[end + 1 : end + 1 + length]
-        if len(block) != length or data[end + 1 + length : end + 2 + length] not in (b"\n", b""):
+        if len(block) != length or data[end + 1 + length : end + 2 + length] not in (b"\n", b"\r", b""):
             raise ValueError(f"a record at {at} doesn't have its declared length")
-        if at == 0:
+        if not names:
             if not values[0].startswith("filedesc://"):
                 raise ValueError("no version block")
-            first, second = block.decode().split("\n")[:2]
+            first, second = block.decode().replace("\r", "").split("\n")[:2]
             version, names = int(first.split(" ")[0]), second.split(" ")
             if FIELDS.get(version, "").split(" ") != names:
                 raise ValueError(f"version {version} with fields {names}")
-        if len(values) != len(names):
-            raise ValueError(f"a header line of version {version} with {len(values)} fields")
-        if at:
-            got = dict(zip(names, values, strict=True))
-            yield {"url": got["URL"], "ip": got["IP-address"], "date": got["Archive-date"], "offset": at, "block": block}
-        at = end + 2 + length
+        else:
+            yield {**_fields(version, values, at), "offset": at, "block": block}
+        at = end + 1 + length
+
+
+def _fields(version: int, values: list[str], at: int) -> dict[str, str]:
+    """URL, address, date and content type of a header line: the date is the last field of 14 digits that leaves enough behind it."""
+    behind = len(FIELDS[version].split(" ")) - 3  # fields after the date
+    for i in range(len(values) - behind - 1, 1, -1):
+        if len(values[i]) == 14 and values[i].isdigit():
+            kind = values[i + 1 : len(values) - behind + 1]
+            return {"url": " ".join(values[: i - 1]), "ip": values[i - 1], "date": values[i], "content_type": " ".join(kind)}
+    raise ValueError(f"a header line of version {version} at {at} with {len(values)} fields and no date")
 
 
 def split_http(block: bytes) -> tuple[bytes, bytes]:
-    head, mark, payload = block.partition(b"\r\n\r\n")
-    return head + mark, payload
+    """Header and payload of an HTTP response; what isn't one is all payload. Lines may end in a line feed alone."""
+    if not block.startswith(b"HTTP/"):
+        return b"", block
+    m = re.search(rb"\r?\n\r?\n", block)
+    return (block[: m.end()], block[m.end() :]) if m else (block, b"")
 
 
 def header(block: bytes, name: str) -> str | None:
@@ -113,16 +131,25 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = start + length + 4
 
 
-def record_id(page_id: int | None, url: str) -> str:
-    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url}')}"
+def record_id(name: str, offset: int, url: str) -> str:
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}#{offset} {url}')}"
+
+
+def warc_date(date: str) -> str:
+    """A date of 14 digits as WARC states it; one that is none (a writer's fault) becomes the start of Unix time."""
+    try:
+        return datetime.strptime(date, "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
+    except ValueError:
+        return "1970-01-01T00:00:00Z"
 
 
 def _write_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Versions 1 and 2 by turns, each segment named by what it holds."""
+    """Versions 1 and 2 by turns, each segment named by its task and its place there."""
+    task, places = TaskContext.get().partitionId(), itertools.count()
 
     def segment(version: int, rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
-        name = f"{hashlib.sha256(b''.join(x[-64:] for _, x in rows) + str(len(rows)).encode()).hexdigest()[:16]}-v{version}.arc"
-        out, size = [arc_start(version, name)], 0
+        name = f"pages-{task:06d}-{next(places):06d}-v{version}.arc"
+        out = [arc_start(version, name)]
         size = len(out[0])
         for url, block in rows:
             out.append(arc_record(version, url, block, name, size))
@@ -150,85 +177,76 @@ def write_arc(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     return rows.mapInArrow(_write_arc, "name string, content binary")
 
 
-_ARC_ROWS = "page_id long, url string, date string, head binary, payload_bytes long, digest string, payload binary"
+_INDEX = "page_id long, name string, offset long, url string, date string, payload_bytes long, digest string"
 
 
-def read_arc(arcs: DataFrame, payloads: bool = True) -> DataFrame:
-    """The records of ARC files; without ``payloads`` that column is null, which saves moving them."""
+def index_arc(arcs: DataFrame) -> DataFrame:
+    """Where the records of ARC files stand, and the digests of their payloads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
+            for name, content in zip(*batch.columns, strict=True):
                 rows = []
                 for r in parse_arc(content.as_py()):
                     head, payload = split_http(r["block"])
                     page = header(head, "X-Page")
-                    rows.append((int(page) if page else None, r["url"], r["date"], head, len(payload), hashlib.sha256(payload).hexdigest(), payload if payloads else None))
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.binary()]
-                cols = list(zip(*rows, strict=True)) or [()] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in _ARC_ROWS.split(", ")])
+                    rows.append((int(page) if page else None, name.as_py(), r["offset"], r["url"], r["date"], len(payload), hashlib.sha256(payload).hexdigest()))
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+                cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in _INDEX.split(", ")])
 
-    return arcs.select("content").mapInArrow(run, _ARC_ROWS)
+    return arcs.select("name", "content").mapInArrow(run, _INDEX)
 
 
 def _write_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def segment(out: list[bytes]) -> pa.RecordBatch:
-        data = b"".join(out)
-        name = f"{hashlib.sha256(data[-4096:]).hexdigest()[:16]}.warc"
-        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.binary())], ["name", "content"])
-
-    out, size = [], 0
+    """Each ARC file, and what its revisits refer to, as one WARC file."""
     for batch in batches:
-        for r in batch.to_pylist():
-            when = datetime.strptime(r["date"], "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
-            again = r["first_page"] is not None and r["first_page"] != r["page_id"]
-            block = r["head"] if again else r["head"] + r["payload"]
-            fields = {
-                "WARC-Record-ID": f"<{record_id(r['page_id'], r['url'])}>",
-                "WARC-Date": when,
-                "WARC-Target-URI": r["url"],
-                "Content-Type": "application/http; msgtype=response",
-                "WARC-Block-Digest": f"sha256:{hashlib.sha256(block).hexdigest()}",
-                "WARC-Payload-Digest": f"sha256:{r['digest']}",
-            }
-            if again:
-                fields |= {
-                    "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-                    "WARC-Refers-To": f"<{record_id(r['first_page'], r['first_url'])}>",
-                    "WARC-Refers-To-Target-URI": r["first_url"],
-                    "WARC-Refers-To-Date": when,
-                    "X-Refers-To-Page": str(r["first_page"]),
+        for name, content, revisits in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            out, firsts = [], {r["offset"]: r for r in revisits or ()}
+            for r in parse_arc(content):
+                head, payload = split_http(r["block"])
+                first, when = firsts.get(r["offset"]), warc_date(r["date"])
+                http = bool(head)
+                block = head if first else r["block"]
+                fields = {
+                    "WARC-Record-ID": f"<{record_id(name, r['offset'], r['url'])}>",
+                    "WARC-Date": when,
+                    "WARC-Target-URI": r["url"],
+                    "WARC-IP-Address": r["ip"],
+                    "Content-Type": "application/http; msgtype=response" if http else r["content_type"],
+                    "WARC-Block-Digest": f"sha256:{hashlib.sha256(block).hexdigest()}",
+                    "WARC-Payload-Digest": f"sha256:{hashlib.sha256(payload).hexdigest()}",
                 }
-            out.append(warc_record("revisit" if again else "response", fields, block))
-            size += len(out[-1])
-            if size >= SEGMENT:
-                yield segment(out)
-                out, size = [], 0
-    if out:
-        yield segment(out)
+                if first:
+                    fields |= {
+                        "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+                        "WARC-Refers-To": f"<{record_id(first['first_name'], first['first_offset'], first['first_url'])}>",
+                        "WARC-Refers-To-Target-URI": first["first_url"],
+                        "WARC-Refers-To-Date": warc_date(first["first_date"]),
+                        "X-Refers-To-Page": str(first["first_page"]),
+                        "X-Payload-Length": str(len(payload)),
+                    }
+                out.append(warc_record("revisit" if first else "response" if http else "resource", fields, block))
+            yield pa.RecordBatch.from_arrays([pa.array([name.removesuffix(".arc") + ".warc"]), pa.array([b"".join(out)], pa.binary())], ["name", "content"])
 
 
 def convert(arcs: DataFrame, least: int = LEAST) -> DataFrame:
     """ARC files to WARC files, ``name, content``.
 
-    Of payloads that are equal (SHA-256 and length) and at least ``least`` bytes long, the record with the
-    smallest page id is the response and the others revisit it; records with that same id (repeated rows) are
-    responses too, and records without a page id are always responses. Digests, not payloads, are grouped: with
-    partial sums, so a payload that a third of all pages share costs one row for each task.
+    Of payloads that are equal (by SHA-256) and at least ``least`` bytes long, the record with the smallest page id is the
+    response and the others revisit it; records with that same id (repeated rows) are responses too, each with a record id of
+    its own, and records without a page id are always responses. Only index rows (digest, file, offset) are joined, those
+    of a digest that very many pages share dealt out by salts; payloads stay in their files, which are joined by name with
+    what their revisits refer to, at most as many as the file has records.
     """
-    index = read_arc(arcs, payloads=False)
-    firsts = (
-        index.filter((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull())
-        .groupBy("digest")
-        .agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n"))
-        .filter("n > 1")
-        .select("digest", F.col("first.page_id").alias("first_page"), F.col("first.url").alias("first_url"))
-    )
-    rows = read_arc(arcs).join(firsts, "digest", "left")
-    rows = rows.withColumn("first_page", F.when(F.col("page_id").isNotNull() & (F.col("payload_bytes") >= least), F.col("first_page")))
-    return rows.select("page_id", "url", "date", "head", "digest", "payload", "first_page", "first_url").mapInArrow(
-        _write_warc, "name string, content binary"
-    )
+    index = saved(index_arc(arcs).filter((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()), "arc-index")
+    first = F.min(F.struct("page_id", "name", "offset", "url", "date")).alias("first")
+    firsts = index.groupBy("digest").agg(first, F.count("*").alias("copies")).filter("copies > 1")
+    firsts = saved(firsts.select("digest", "copies", *(F.col(f"first.{c}").alias(f"first_{'page' if c == 'page_id' else c}") for c in ("page_id", "name", "offset", "url", "date"))), "arc-firsts")
+    hot = hot_keys(firsts, ["digest"], firsts.agg(F.sum("copies")).first()[0])
+    again = salted_join(index.select("digest", "page_id", "name", "offset"), firsts.drop("copies"), ["digest"], hot, "offset").filter("page_id <> first_page")
+    named = again.groupBy("name").agg(F.collect_list(F.struct("offset", "first_page", "first_name", "first_offset", "first_url", "first_date")).alias("revisits"))
+    return arcs.select("name", "content").join(named, "name", "left").select("name", "content", "revisits").mapInArrow(_write_warc, "name string, content binary")
 
 
 _RECORDS = "page_id long, url string, warc_type string, payload_bytes long, payload_digest string, refers_to long, record_id string"
@@ -249,7 +267,7 @@ def read_warc(archives: DataFrame) -> DataFrame:
                     revisit = fields["WARC-Type"] == "revisit"
                     if not revisit and digest != hashlib.sha256(payload).hexdigest():
                         raise ValueError("a payload differs from its digest")
-                    length = int(header(head, "Content-Length")) if revisit else len(payload)
+                    length = int(fields["X-Payload-Length"]) if revisit else len(payload)
                     page, first = header(head, "X-Page"), fields.get("X-Refers-To-Page")
                     rows.append((int(page) if page else None, fields["WARC-Target-URI"], fields["WARC-Type"], length, digest, int(first) if first else None, fields["WARC-Record-ID"]))
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
