@@ -73,7 +73,8 @@ def parse_arc(data: bytes) -> Iterator[dict]:
         values = data[at:end].decode("utf-8", "replace").rstrip("\r").split(" ")
         length = int(values[-1])
         block = data[end + 1 : end + 1 + length]
-        if len(block) != length or data[end + 1 + length : end + 2 + length] not in (b"\n", b"\r", b""):
+        closed = data[end + 1 + length : end + 2 + length] in (b"\n", b"\r", b"") or not names and block.endswith(b"\n")
+        if len(block) != length or not closed:
             raise ValueError(f"a record at {at} doesn't have its declared length")
         if not names:
             if not values[0].startswith("filedesc://"):
