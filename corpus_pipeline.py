@@ -27,7 +27,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))
     chance = 1 / max(1, len(net.names))
     least = chance + LEAST_SHARE * (1 - chance)
-    return _own(langid.with_language(docs, net).filter((F.col("lang_pred") != langid.UNDECIDED) & (F.col("score") >= least)), docs)
+    rows = docs.select(F.struct(*docs.columns).alias("own"), langid.language(net, F.col("text")).alias("told"))
+    return _own(rows.filter((F.col("told.lang_pred") != langid.UNDECIDED) & (F.col("told.score") >= least)), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +37,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Without an id counts as the greatest; of one id the smaller hash of the text. Of rows that repeat both, the one whose
     other columns come first by a hash stays.
     """
-    told = jaccard.jaccard_components(docs, 5, 80, 100).filter("first").select("doc_id", "text_key").distinct()
-    told = saved(told.select(F.coalesce("doc_id", F.lit(-1)).alias("id_key"), F.col("doc_id").isNull().alias("lost"), "text_key"), "near-first")
+    told = jaccard.jaccard_components(docs, 5, 80, 100).filter("first")
+    told = told.select(F.coalesce("doc_id", F.lit(-1)).alias("id_key"), F.col("doc_id").isNull().alias("lost"), "text_key")
+    told = saved(told.groupBy("id_key", "lost", "text_key").agg(F.count("*").alias("rows")), "near-first").hint("shuffle_hash")
     id_ = F.col("doc_id").cast("long")
     rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
     order = F.xxhash64(F.to_json(F.struct(*rest))) if rest else F.lit(0)
@@ -46,7 +48,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         F.xxhash64(F.col("text").cast("string")).alias("text_key"), order.alias("order"),
     )
     key = ["id_key", "lost", "text_key"]
-    return _own(keyed.join(told, key, "left_semi").groupBy(*key).agg(F.min_by("own", "order").alias("own")), docs)
+    single = keyed.join(told.filter("rows = 1"), key, "left_semi").select("own")
+    repeated = keyed.join(told.filter("rows > 1"), key, "left_semi").groupBy(*key).agg(F.min_by("own", "order").alias("own"))
+    return _own(single.unionByName(repeated.select("own")), docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,8 +37,8 @@ from .common import bucketed, discard, hot_keys, salted_join, saved, table
 from .rolling import BASE, joined, mix, powers, slices
 
 HOT_TOKENS, HOT_SHARE, HOT_LEAST = 65_536, 0.002, 64
-BLOCK, BLOCK_BYTES, LEAF = 4_096, 8 << 20, 64
-BUCKET_BYTES, ROW_BYTES = 24 << 20, 64  # of one task's group; of a row beside its bitmap
+BLOCK, BLOCK_BYTES, LEAF = 4_096, 4 << 20, 64
+BUCKET_BYTES, ROW_BYTES = 8 << 20, 64  # of one task's group; of a row beside its bitmap
 LONG_WORD = 64  # bytes
 FILTER_BITS = 1 << 24
 _LOWER = np.arange(256, dtype=np.uint8)

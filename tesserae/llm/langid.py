@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import table
 from .rolling import slices
@@ -232,17 +231,18 @@ def predict(df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def with_language(df: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
-    """``own, lang_pred, score``: each row of ``df`` as a struct, whatever its columns are called, beside what ``predict`` says."""
-    told, at = _predicting(net), df.columns.index(text_col)
+def language(net: Network, text: Column) -> Column:
+    """``struct<lang_pred, score>`` of a text as ``predict`` gives them; the other columns of its row don't leave the JVM."""
+    told = _predicting(net)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, names, scores in told(batch.column(0).field(at)):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], names, scores], ["own", "lang_pred", "score"])
+    @F.arrow_udf("lang_pred string, score double")
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            parts = [(names, scores) for _, _, names, scores in told(column)]
+            names, scores = (pa.concat_arrays([p[i] for p in parts]) if parts else pa.array([], t) for i, t in enumerate((pa.string(), pa.float64())))
+            yield pa.StructArray.from_arrays([names, scores], ["lang_pred", "score"])
 
-    kinds = StructType([StructField("own", df.schema, False), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return df.select(F.struct(*df.columns).alias("own")).mapInArrow(run, kinds)
+    return run(text.cast("string"))
 
 
 def held_out(doc_id: Column) -> Column:
