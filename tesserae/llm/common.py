@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import saved, shared_folder, shuffle_files_go
+from .. import storage
+from ..storage import shared_folder, shuffle_files_go
 
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_024
+"""Rows that go to Python at once: of texts or bitmaps, Spark's default of 10,000 makes tens of megabytes, in several copies."""
 BUCKET_ROWS, MOST_BUCKETS = 200_000, 100_000
 """Rows in a bucket of a bucketed table, and the most buckets that Spark takes by default."""
 HOT_ROWS, HOT_KEYS = 1_000, 10_000
@@ -18,6 +22,22 @@ HOT_ROWS, HOT_KEYS = 1_000, 10_000
 __all__ = ["bucketed", "discard", "hot_keys", "parts", "salted_join", "saved", "shared_folder", "table"]
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder, in small batches where it goes through Python, and read again."""
+    with _small_batches(df.sparkSession):
+        return storage.saved(df, name)
+
+
 def hot_keys(sizes: DataFrame, keys: list[str], total: int | None) -> DataFrame:
     """Of ``sizes`` (keys, copies) the hot keys with the number of ``salts`` that deal their rows out: at most ``HOT_KEYS`` rows."""
     least = max(HOT_ROWS, -(-(total or 0) // HOT_KEYS))
