@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import jaccard, langid, mixing, pieces, pii
-from tesserae.llm.common import saved, table
+from tesserae.llm.common import saved, small_batches, table
 
 #: A document goes if its language is undecided, or less likely than by chance and this share of what is left above chance.
 LEAST_SHARE = 0.2
@@ -24,6 +24,7 @@ def _own(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the network tells; it learns from the labelled ones that are not held out. Rows stay where they are."""
+    small_batches(spark)
     net = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))
     chance = 1 / max(1, len(net.names))
     least = chance + LEAST_SHARE * (1 - chance)
@@ -39,7 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     told = jaccard.jaccard_components(docs, 5, 80, 100).filter("first")
     told = told.select(F.coalesce("doc_id", F.lit(-1)).alias("id_key"), F.col("doc_id").isNull().alias("lost"), "text_key")
-    told = saved(told.groupBy("id_key", "lost", "text_key").agg(F.count("*").alias("rows")), "near-first").hint("shuffle_hash")
+    told = saved(told.groupBy("id_key", "lost", "text_key").agg(F.count("*").alias("rows")), "near-first")
     id_ = F.col("doc_id").cast("long")
     rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
     order = F.xxhash64(F.to_json(F.struct(*rest))) if rest else F.lit(0)
@@ -48,7 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         F.xxhash64(F.col("text").cast("string")).alias("text_key"), order.alias("order"),
     )
     key = ["id_key", "lost", "text_key"]
-    single = keyed.join(told.filter("rows = 1"), key, "left_semi").select("own")
+    single = keyed.join(told.filter("rows = 1").hint("shuffle_hash"), key, "left_semi").select("own")
     repeated = keyed.join(told.filter("rows > 1"), key, "left_semi").groupBy(*key).agg(F.min_by("own", "order").alias("own"))
     return _own(single.unionByName(repeated.select("own")), docs)
 
@@ -75,8 +76,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_ids, ids, decoded_sha256`` of every whole text: its ids, and a digest of the text decoded from them."""
-    done = pieces.decode_ids(pieces.encode_texts(docs), keep_ids=True)
-    return done.select("doc_id", "n_ids", "ids", F.sha2("text", 256).alias("decoded_sha256"))
+    small_batches(spark)
+    return pieces.round_trip(docs).select("doc_id", "n_ids", "ids", "decoded_sha256")
 
 
 STAGES = [

@@ -19,7 +19,7 @@ BUCKET_ROWS, MOST_BUCKETS = 200_000, 100_000
 HOT_ROWS, HOT_KEYS = 1_000, 10_000
 """A key is hot from this many rows on, and from one in ``HOT_KEYS`` of all rows; so there are at most ``HOT_KEYS``."""
 
-__all__ = ["bucketed", "discard", "hot_keys", "parts", "salted_join", "saved", "shared_folder", "table"]
+__all__ = ["bucketed", "discard", "hot_keys", "parts", "salted_join", "saved", "shared_folder", "small_batches", "table"]
 
 
 @contextmanager
@@ -32,6 +32,11 @@ def _small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(BATCH, before)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to ``BATCH_ROWS``, for a plan that is run by whoever it is returned to."""
+    spark.conf.set(BATCH, BATCH_ROWS)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder, in small batches where it goes through Python, and read again."""
     with _small_batches(df.sparkSession):

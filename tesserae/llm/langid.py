@@ -28,7 +28,7 @@ from .rolling import slices
 
 WINDOW, HIDDEN = 128, 8
 PER_LANGUAGE, MOST_WINDOWS, STEPS, BATCH, TRAIN_WIDTH = 600, 40_000, 260, 128, 64
-_ROWS = 2048  # windows run together
+_ROWS = 768  # windows run together
 UNDECIDED = "und"
 
 

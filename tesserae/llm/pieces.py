@@ -261,8 +261,8 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def decode_ids(df: DataFrame, path: str = MODEL, keep_ids: bool = False) -> DataFrame:
-    """``doc_id, ids_sha256, n_ids, text`` of rows with ``ids``, and those with ``keep_ids``; null ids are read as none."""
+def decode_ids(df: DataFrame, path: str = MODEL) -> DataFrame:
+    """``doc_id, ids_sha256, n_ids, text`` of rows with ``ids``; null ids are read as none."""
     shared = df.sparkSession.sparkContext.broadcast(load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,25 +276,50 @@ def decode_ids(df: DataFrame, path: str = MODEL, keep_ids: bool = False) -> Data
                 b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + (1 << 19), "right")) - 1)
                 cuts = offsets[a : b + 1] - offsets[a]
                 ids = values[offsets[a] : offsets[b]].astype("<i4")
-                kept = {"ids": lists[a:b]} if keep_ids else {}
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0)[a:b],
                         pa.array([hashlib.sha256(ids[x:y].tobytes()).hexdigest() for x, y in zip(cuts, cuts[1:], strict=False)], pa.string()),
                         pa.array(np.diff(cuts), pa.int64()),
                         pa.array(decoder.decode(ids, cuts), pa.string()),
-                        *kept.values(),
                     ],
-                    ["doc_id", "ids_sha256", "n_ids", "text", *kept],
+                    ["doc_id", "ids_sha256", "n_ids", "text"],
                 )
                 a = b
 
-    return df.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids_sha256 string, n_ids long, text string" + (", ids array<int>" if keep_ids else ""))
+    return df.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids_sha256 string, n_ids long, text string")
+
+
+def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL) -> DataFrame:
+    """``doc_id, n_ids, ids, ids_sha256, decoded_chars, decoded_sha256``: what ``encode_texts`` and ``decode_ids`` give, in one
+    pass, so each task holds one vocabulary and one Python worker. Rows and edge cases are theirs."""
+    vocab = load(path)
+    key = hashlib.sha256(repr(sorted(vocab.pieces.items())).encode()).hexdigest()
+    shared = df.sparkSession.sparkContext.broadcast(vocab)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(shared, key)
+        decoder = Decoder(encoder.vocab)
+        for batch in batches:
+            for a, b in slices(batch.column(1), 1 << 20):
+                found = [encoder.encode(x.as_py() or "") for x in batch.column(1)[a:b]]
+                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
+                ids = np.frombuffer(b"".join(found), np.int32)
+                texts = decoder.decode(ids, offsets)
+                columns = {
+                    "doc_id": batch.column(0)[a:b],
+                    "n_ids": pa.array(np.diff(offsets), pa.int64()),
+                    "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)),
+                    "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in found], pa.string()),
+                    "decoded_chars": pa.array([len(x) for x in texts], pa.int64()),
+                    "decoded_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in texts], pa.string()),
+                }
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_ids long, ids array<int>, ids_sha256 string, decoded_chars long, decoded_sha256 string")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents`` encoded, and digests of the ids and of the text decoded from them."""
-    done = decode_ids(encode_texts(table(spark, sf_dir, "documents")))
-    return done.select(
-        "doc_id", "n_ids", "ids_sha256", F.length("text").cast("long").alias("decoded_chars"), F.sha2("text", 256).alias("decoded_sha256")
-    )
+    return round_trip(table(spark, sf_dir, "documents")).drop("ids")

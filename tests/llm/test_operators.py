@@ -110,6 +110,9 @@ def test_pieces(docs, none):
     got = {r.doc_id: r for r in pieces.decode_ids(pieces.encode_texts(docs)).collect()}
     assert all(got[i].text == (t or "") for i, t in enumerate(TEXTS))
     assert pieces.encode_texts(none).count() == 0
+    for r in pieces.round_trip(docs).collect():
+        assert (r.n_ids, r.ids_sha256, r.decoded_chars) == (got[r.doc_id].n_ids, got[r.doc_id].ids_sha256, len(TEXTS[r.doc_id] or ""))
+        assert r.decoded_sha256 == hashlib.sha256((TEXTS[r.doc_id] or "").encode()).hexdigest() and len(r.ids) == r.n_ids
     encoder = pieces.Encoder(vocab, remembered=3)
     for text in (BASE, "a  b", " lead", "trail ", "日本 \U0001f600 <s>", "q" * 200):
         marked = pieces.MARK + text.replace(" ", pieces.MARK)
