@@ -50,7 +50,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     )
     key = ["id_key", "lost", "text_key"]
     single = keyed.join(told.filter("rows = 1").hint("shuffle_hash"), key, "left_semi").select("own")
-    repeated = keyed.join(told.filter("rows > 1"), key, "left_semi").groupBy(*key).agg(F.min_by("own", "order").alias("own"))
+    again = told.filter("rows > 1")
+    if again.isEmpty():
+        return _own(single, docs)
+    repeated = keyed.join(again, key, "left_semi").groupBy(*key).agg(F.min_by("own", "order").alias("own"))
     return _own(single.unionByName(repeated.select("own")), docs)
 
 
