@@ -526,7 +526,7 @@ def recent_top5(spark, sf_dir):
     return state.newest(history(spark, sf_dir), state.RECENT, within=["source_path"]).select("source_path", "event_id", "position")
 
 
-@query(f"WITH {HI} SELECT event_id, substr(sha256(concat_ws('|', source_path, profile_id, status)), 1, 16) AS cache_key FROM h")
+@query(f"WITH {HI} SELECT event_id, substr(sha256('["' || source_path || '",' || coalesce('"' || profile_id || '"', 'null') || ',"' || status || '"]'), 1, 16) AS cache_key FROM h")
 def cache_key(spark, sf_dir):
     return history(spark, sf_dir).select("event_id", state.cache_key(F.col("source_path"), F.col("profile_id"), F.col("status")).alias("cache_key"))
 
@@ -611,3 +611,6 @@ def streamed_tiles(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return region_area(spark, sf_dir)
+
+
+from . import catalog_more  # noqa: E402, F401  its queries register themselves

@@ -169,6 +169,34 @@ def drop_collinear(points: Column) -> Column:
     return let(points, kept)
 
 
+def drop_collinear_ring(points: Column) -> Column:
+    """Corners of a ring (open): vertices where it turns, seen from both neighbours, the ends' included; without any, all."""
+    def corners(p: Column) -> Column:
+        n = F.size(p)
+
+        def turns(b: Column, i: Column) -> Column:
+            a, c = F.get(p, (i + n - 1) % n), F.get(p, (i + 1) % n)
+            return (b["x"] - a["x"]) * (c["y"] - b["y"]) != (b["y"] - a["y"]) * (c["x"] - b["x"])
+
+        return let(F.filter(p, turns), lambda q: F.when((n <= 3) | (F.size(q) == 0), p).otherwise(q))
+
+    return let(open_ring(points), corners)
+
+
+def probe(ring: Column) -> Column:
+    """A point to ask whether a ring lies in another: the centroid if that is inside, else the middle of its box if inside, else
+    the middle of its first edge."""
+    def chosen(own: Column) -> Column:
+        axis = lambda n: F.transform(own, lambda p: p[n])
+        middle = lambda n: (F.array_min(axis(n)) + F.array_max(axis(n))) / 2
+        a, b = first(own), F.get(own, F.lit(1))
+        edge = point((a["x"] + b["x"]) / 2, (a["y"] + b["y"]) / 2)
+        box = point(middle("x"), middle("y"))
+        return let(centroid(own), lambda c: F.when(inside(c, own), c).when(inside(box, own), box).otherwise(edge))
+
+    return let(close_ring(ring), chosen)
+
+
 def close_contour(points: Column, max_gap: float = 2.0) -> Column:
     """A ring from a line whose ends lie within ``max_gap``, else null; the first vertex is always appended."""
     near = (F.size(points) >= 3) & (distance(first(points), last(points)) <= max_gap)

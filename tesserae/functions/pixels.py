@@ -36,6 +36,19 @@ def threshold(v: Column, at: Column | int, polarity: str = "high") -> Column:
     return F.when(v >= at if polarity == "high" else v <= at, 1).otherwise(0)
 
 
+def threshold_strict(v: Column, at: Column | int, polarity: str = "high") -> Column:
+    """As ``threshold``, but a value at the threshold itself is low."""
+    at = F.lit(at) if isinstance(at, int) else at
+    if polarity not in ("high", "low"):
+        raise ConfigurationError(f"polarity {polarity!r} is neither 'high' nor 'low'")
+    return F.when(v > at if polarity == "high" else v <= at, 1).otherwise(0)
+
+
+def first_band(*bands: Column) -> Column:
+    """Gray of one or two bands by the first alone, of three or more as ``grayscale`` has it."""
+    return grayscale(bands[0]) if len(bands) < 3 else grayscale(*bands[:3])
+
+
 def bucket_label(v: Column, max_colors: int = 8) -> Column:
     """Labels by equal ranges of values."""
     buckets = max(2, round(math.sqrt(max_colors)))

@@ -17,12 +17,18 @@ from ..errors import ConfigurationError
 WEIGHTS = {"mean_iou": 0.35, "boundary_f1": 0.30, "precision": 0.20, "recall": 0.10, "geometry_valid_ratio": 0.05}
 #: Names of directions.
 DIRECTIONS = {
-    "gte": "gte", "ge": "gte", ">=": "gte", "min": "gte", "higher": "gte",
-    "lte": "lte", "le": "lte", "<=": "lte", "max": "lte", "lower": "lte",
-    "gt": "gt", ">": "gt", "lt": "lt", "<": "lt", "eq": "eq", "==": "eq",
+    "ge": "gte", "gte": "gte", "greater_or_equal": "gte", "greater_equal": "gte",
+    "le": "lte", "lte": "lte", "less_or_equal": "lte", "less_equal": "lte",
+    "gt": "gt", "lt": "lt", "eq": "eq",
 }
 
 
+def canonical_direction(name: Column) -> Column:
+    """The direction that a name stands for, null if none."""
+    names = F.create_map(*(F.lit(x) for kv in DIRECTIONS.items() for x in kv))
+    return F.try_element_at(names, F.lower(F.trim(name)))
+
+
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """Run documents under ``path`` (one object, a list, or ``{"runs": [...]}``) as runs."""
     kind = "struct<run_id:string,id:string,profile:string,profile_name:string,dataset_id:string,metrics:map<string,string>,results:map<string,string>,summary:struct<metrics:map<string,string>>>"
@@ -52,7 +58,7 @@ def rules_frame(spark: SparkSession, baseline: Mapping) -> DataFrame:
         raise ConfigurationError("a baseline has schema_version 1 and metrics")
     rows = []
     for name, rule in metrics.items():
-        direction = DIRECTIONS.get(str(rule.get("direction")).lower())
+        direction = DIRECTIONS.get(str(rule.get("direction")).strip().lower())
         if direction is None or not isinstance(rule.get("threshold"), (int, float)):
             raise ConfigurationError(f"{name}: {json.dumps(dict(rule))} is no rule")
         rows.append((name, direction, float(rule["threshold"]), rule.get("unit")))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import json_safe
+
 HISTORY, RECENT = 50, 5
 
 
@@ -35,17 +36,17 @@ def latest_success(df: DataFrame) -> DataFrame:
     return good.groupBy("source_path").agg(F.max("timestamp").alias("timestamp"), F.count("*").alias("n"))
 
 
-def without_failures(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("status") != "failed")
-
-
-def canonical(parameters: Mapping) -> str:
-    return json.dumps(parameters, sort_keys=True, separators=(",", ":"), default=str)
+def presets(df: DataFrame) -> DataFrame:
+    """The newest preset of each name, in the order of names whatever their case."""
+    once = df.groupBy("name").agg(F.max_by("parameters", "saved").alias("parameters"), F.max("saved").alias("saved"))
+    # A row for each saved set of parameters: a window without partitions is small here.
+    return once.withColumn("position", F.row_number().over(Window.orderBy(F.lower("name"), "name")))
 
 
 def cache_key(*parts: Column, length: int = 16) -> Column:
-    """The first digits of a SHA-256 over the parts."""
-    return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, length)
+    """The first digits of a SHA-256 over the parts as a JSON list, in which null and text of any kind stay apart."""
+    told = F.concat(F.lit("["), F.concat_ws(",", *(F.coalesce(json_safe(p.cast("string")), F.lit("null")) for p in parts)), F.lit("]"))
+    return F.substring(F.sha2(told, 256), 1, length)
 
 
 def cache_statistics(df: DataFrame) -> DataFrame:

@@ -51,18 +51,99 @@ def sobel(df: DataFrame) -> DataFrame:
     return across.select("raster_id", "y", "x", (F.abs(gx) + F.abs(gy)).cast("int").alias("mag"))
 
 
-def box_blur(df: DataFrame, radius: int = 1) -> DataFrame:
-    """``v``: the rounded mean of the clipped square, from sums over rows and then columns."""
-    part = df.withColumn("s", F.sum("v").over(across_row().rowsBetween(-radius, radius))).withColumn("n", F.count("v").over(across_row().rowsBetween(-radius, radius)))
-    total, n = F.sum("s").over(down_column().rowsBetween(-radius, radius)), F.sum("n").over(down_column().rowsBetween(-radius, radius))
-    return part.select("raster_id", "y", "x", F.rint(total / n).cast("int").alias("v"))
-
-
-def gaussian_blur(df: DataFrame) -> DataFrame:
-    """``v``: weights 1 2 1 across and down over 16, halves to the even number, the border repeated."""
-    across = df.withColumn("s", _near("v", across_row(), -1) + 2 * F.col("v") + _near("v", across_row(), 1))
-    total = _near("s", down_column(), -1) + 2 * F.col("s") + _near("s", down_column(), 1)
-    return across.select("raster_id", "y", "x", F.rint(total / 16).cast("int").alias("v"))
+#: The weights of a Gaussian by its width, as the binomial rows are usually rounded.
+KERNELS = {1: (1,), 3: (1, 2, 1), 5: (1, 4, 6, 4, 1), 7: (2, 7, 14, 18, 14, 7, 2)}
+
+
+def _weighted(value: str, window, weights: tuple[int, ...]) -> Column:
+    """The weighted sum around a pixel, the border repeated."""
+    radius = len(weights) // 2
+    ends = F.first(value).over(window.rowsBetween(Window.unboundedPreceding, 0)), F.last(value).over(window.rowsBetween(0, Window.unboundedFollowing))
+    out = F.lit(0)
+    for step, w in zip(range(-radius, radius + 1), weights, strict=True):
+        moved = F.lag(value, -step) if step < 0 else F.lead(value, step)
+        out = out + w * (F.col(value) if step == 0 else F.coalesce(moved.over(window), ends[step > 0]))
+    return out
+
+
+def gaussian_blur(df: DataFrame, size: int = 3) -> DataFrame:
+    """``v``: weighted means across and down, halves to the even number, the border repeated."""
+    weights = KERNELS[size]
+    across = df.withColumn("s", _weighted("v", across_row(), weights))
+    return across.select("raster_id", "y", "x", F.rint(_weighted("s", down_column(), weights) / sum(weights) ** 2).cast("int").alias("v"))
+
+
+def _ellipse(radius: int) -> list[int]:
+    """Half-widths of a round kernel's rows, from the top."""
+    return [round(radius * ((radius * radius - dy * dy) ** 0.5) / radius) if radius else 0 for dy in range(-radius, radius + 1)]
+
+
+def _round(df: DataFrame, radius: int, value: str, f, pick) -> DataFrame:
+    if radius <= 0:
+        return df
+    widths = _ellipse(radius)
+    wide = df.select("*", *(f(value).over(across_row().rowsBetween(-w, w)).alias(f"_w{w}") for w in sorted(set(widths))))
+    rows = []
+    for dy, w in zip(range(-radius, radius + 1), widths, strict=True):
+        moved = F.lag(f"_w{w}", -dy) if dy < 0 else F.lead(f"_w{w}", dy)
+        rows.append(F.col(f"_w{w}") if dy == 0 else moved.over(down_column()))
+    return wide.withColumn(value, pick(*rows)).drop(*(f"_w{w}" for w in set(widths)))
+
+
+def dilate_round(df: DataFrame, radius: int = 1, value: str = "bit") -> DataFrame:
+    """Any 1 in a round neighbourhood; outside counts as nothing."""
+    return _round(df, radius, value, F.max, F.greatest)
+
+
+def erode_round(df: DataFrame, radius: int = 1, value: str = "bit") -> DataFrame:
+    return _round(df, radius, value, F.min, F.least)
+
+
+def opened_round(df: DataFrame, radius: int = 1, value: str = "bit") -> DataFrame:
+    return dilate_round(erode_round(df, radius, value), radius, value)
+
+
+def closed_round(df: DataFrame, radius: int = 1, value: str = "bit") -> DataFrame:
+    return erode_round(dilate_round(df, radius, value), radius, value)
+
+
+#: Fixed value: the tangent of 22.5 degrees in units of 1 / 32768.
+TANGENT = 13_573
+
+
+def canny_classes(df: DataFrame, low: int = 50, high: int = 150) -> DataFrame:
+    """``class``: 2 where the gradient (|gx| + |gy|) is the greatest across its edge and above ``high``, 1 above ``low``, else 0."""
+    near = lambda c, w, k: _near(c, w, k)
+    rows = df.withColumn("d", near("v", across_row(), 1) - near("v", across_row(), -1)).withColumn("s", near("v", across_row(), -1) + 2 * F.col("v") + near("v", across_row(), 1))
+    gx = near("d", down_column(), -1) + 2 * F.col("d") + near("d", down_column(), 1)
+    gy = near("s", down_column(), 1) - near("s", down_column(), -1)
+    grad = rows.select("raster_id", "y", "x", gx.cast("long").alias("gx"), gy.cast("long").alias("gy")).withColumn("m", F.abs("gx") + F.abs("gy"))
+    beside = lambda c, w, k: F.coalesce((F.lag(c, -k) if k < 0 else F.lead(c, k)).over(w), F.lit(0))
+    grad = grad.withColumn("left", beside("m", across_row(), -1)).withColumn("right", beside("m", across_row(), 1))
+    names = {f"{n}_{c}": beside(c, down_column(), k) for c in ("m", "left", "right") for n, k in (("up", -1), ("down", 1))}
+    around = grad.select("*", *(v.alias(k) for k, v in names.items()))
+    m, x, y = F.col("m"), F.abs("gx"), F.abs("gy") * 32_768
+    flat, steep = y < x * TANGENT, y > x * TANGENT + x * 65_536
+    same = (F.col("gx") < 0) == (F.col("gy") < 0)
+    across = (m > F.when(same, F.col("up_left")).otherwise(F.col("up_right"))) & (m > F.when(same, F.col("down_right")).otherwise(F.col("down_left")))
+    top = F.when(flat, (m > F.col("left")) & (m >= F.col("right"))).when(steep, (m > F.col("up_m")) & (m >= F.col("down_m"))).otherwise(across)
+    return around.select("raster_id", "y", "x", F.when(top & (m > high), 2).when(top & (m > low), 1).otherwise(0).alias("class"))
+
+
+def canny(df: DataFrame, low: int = 50, high: int = 150, blur: int = 3) -> DataFrame:
+    """``bit``: 1 on edges above ``high`` and on those above ``low`` that touch one, through any number of others.
+
+    What touches is a component of the edges (8 neighbours), which are labelled in tiles and joined across their seams; those
+    with a strong pixel stay.
+    """
+    from .regions import label_components
+
+    classes = canny_classes(gaussian_blur(df, blur), low, high)
+    found = label_components(classes.withColumn("label", F.when(F.col("class") > 0, 1)), 8)
+    both = found.join(classes, ["raster_id", "y", "x"])
+    strong = both.filter("class = 2").select("raster_id", "component").distinct()
+    edges = both.join(strong, ["raster_id", "component"], "left_semi").select("raster_id", "y", "x", F.lit(1).alias("bit"))
+    return classes.select("raster_id", "y", "x").join(edges, ["raster_id", "y", "x"], "left").withColumn("bit", F.coalesce("bit", F.lit(0)))
 
 
 def median(df: DataFrame, radius: int = 1) -> DataFrame:
