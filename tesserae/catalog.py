@@ -204,7 +204,13 @@ def tile_stats(spark, sf_dir):
     return aggregates.tile_statistics(emb(spark, sf_dir), 32).drop("raster_id")
 
 
-@query()
+KMEANS = ["b AS MATERIALIZED (SELECT v, count(*) AS n FROM px GROUP BY v)", "c0 AS (SELECT i AS k, low + (high - low) * (i + 0.5) / 8 AS c FROM range(8) t(i), (SELECT min(v) AS low, max(v) AS high FROM b))"]
+for _i in range(11):
+    KMEANS.append(f"a{_i} AS MATERIALIZED (SELECT v, n, arg_min(k, (abs(c - v), k)) AS k FROM b, c{_i} GROUP BY v, n)")
+    KMEANS.append(f"c{_i + 1} AS MATERIALIZED (SELECT row_number() OVER (ORDER BY m) - 1 AS k, m AS c FROM (SELECT c.k, coalesce(sum(a.n * a.v) / sum(a.n), c.c) AS m FROM c{_i} c LEFT JOIN a{_i} a ON a.k = c.k GROUP BY c.k, c.c))")
+
+
+@query(f"WITH {PX}, {', '.join(KMEANS)} SELECT k::INT AS label, sum(n)::BIGINT AS n FROM a10 GROUP BY k")
 def kmeans_1d(spark, sf_dir):
     return aggregates.kmeans_1d(emb(spark, sf_dir)).groupBy("label").agg(F.count("*").alias("n"))
 
@@ -411,7 +417,16 @@ def segment_intersect(spark, sf_dir):
     return each.select("id", F.col("i").cast("long").alias("i"), G.segments_cross(*xy).alias("crosses"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {EV}, p AS MATERIALIZED (SELECT id, k, n, x, y FROM ev),
+seg AS (SELECT DISTINCT id, 1::BIGINT AS i, n AS j FROM p WHERE n > 1
+  UNION ALL SELECT id, CASE s WHEN 0 THEN i ELSE k END, CASE s WHEN 0 THEN k ELSE j END FROM (
+    SELECT seg.id, seg.i, seg.j, arg_max(p.k, (abs((b.x - a.x) * (a.y - p.y) - (a.x - p.x) * (b.y - a.y)) / sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2), -p.k)) AS k,
+      max(abs((b.x - a.x) * (a.y - p.y) - (a.x - p.x) * (b.y - a.y)) / sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2)) AS d
+    FROM seg JOIN p a ON a.id = seg.id AND a.k = seg.i JOIN p b ON b.id = seg.id AND b.k = seg.j JOIN p ON p.id = seg.id AND p.k > seg.i AND p.k < seg.j GROUP BY seg.id, seg.i, seg.j
+  ), (VALUES (0), (1)) t(s) WHERE d > 5),
+kept AS (SELECT DISTINCT id, k FROM (SELECT id, i AS k FROM seg UNION ALL SELECT id, j FROM seg UNION ALL SELECT id, k FROM p WHERE n = 1)),
+s AS (SELECT p.*, lag(p.x) OVER w AS px, lag(p.y) OVER w AS py FROM kept JOIN p USING (id, k) WINDOW w AS (PARTITION BY p.id ORDER BY p.k))
+SELECT id, max(n)::INT AS n, count(*)::INT AS kept, round(coalesce(sum(sqrt((x - px) ** 2 + (y - py) ** 2)), 0), 3) AS length FROM s GROUP BY id""")
 def rdp(spark, sf_dir):
     own = paths(spark, sf_dir).select("id", F.size("points").alias("n"), lines.simplified(F.col("points"), 5.0).alias("s"))
     return own.select("id", "n", F.size("s").alias("kept"), F.round(G.line_length(F.col("s")), 3).alias("length"))
@@ -457,7 +472,7 @@ def stitch_lines(spark, sf_dir):
 
 @query()
 def skeleton_paths(spark, sf_dir):
-    found = lines.centre_lines(mask(spark, sf_dir), 64, 1 << 30)
+    found = lines.centre_lines(mask(spark, sf_dir))
     return found.select("component", "line", F.size("points").alias("n"), F.round(G.line_length(F.col("points")), 3).alias("length"))
 
 
@@ -526,7 +541,7 @@ def recent_top5(spark, sf_dir):
     return state.newest(history(spark, sf_dir), state.RECENT, within=["source_path"]).select("source_path", "event_id", "position")
 
 
-@query(f"WITH {HI} SELECT event_id, substr(sha256('["' || source_path || '",' || coalesce('"' || profile_id || '"', 'null') || ',"' || status || '"]'), 1, 16) AS cache_key FROM h")
+@query(f"""WITH {HI} SELECT event_id, substr(sha256('["' || source_path || '",' || coalesce('"' || profile_id || '"', 'null') || ',"' || status || '"]'), 1, 16) AS cache_key FROM h""")
 def cache_key(spark, sf_dir):
     return history(spark, sf_dir).select("event_id", state.cache_key(F.col("source_path"), F.col("profile_id"), F.col("status")).alias("cache_key"))
 
@@ -600,13 +615,20 @@ def geojson_coordinates(spark, sf_dir):
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts)::TIMESTAMP AS start, event_type AS kind, count(*) AS n FROM events GROUP BY ALL")
 def windowed_runs(spark, sf_dir):
-    return streams.windowed_counts(rasters.table(spark, sf_dir, "events"))
+    """A stream over the file of events, run until all that is there is read."""
+    own = rasters.table(spark, sf_dir, "events").schema
+    runs = spark.readStream.schema(own).parquet(f"{sf_dir}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    done = streams.run_available(streams.windowed_counts(runs), "windowed-runs", "complete")
+    return done.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query(f"WITH {PX} SELECT v, count(*) AS n FROM px GROUP BY v")
 def streamed_tiles(spark, sf_dir):
-    tiles = rasters.to_tiles(emb(spark, sf_dir), 48)
-    return streams.tile_histograms(tiles).groupBy("v").agg(F.sum("n").alias("n"))
+    """Tiles that arrive as files, each counted by itself, and the counts summed."""
+    folder = streams.landing(rasters.to_tiles(emb(spark, sf_dir), 48), "tiles")
+    tiles = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    done = streams.run_available(streams.tile_histograms(tiles), "tile-histograms", "append")
+    return done.groupBy("v").agg(F.sum("n").alias("n"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .catalog import HI, LABELS, MASK, PX, boxes, emb, history, labels, mask, query, short_lines
 from .functions import geometry as G
 from .functions import pixels, text
-from .operators import evaluation, features, lines, state, stencils
+from .operators import aggregates, evaluation, features, lines, state, stencils
 from .sources import rasters
 
 # Neighbourhoods
@@ -145,6 +145,22 @@ def ring_probe(spark, sf_dir):
     return boxes(spark, sf_dir).select("id", p["x"].alias("px"), p["y"].alias("py"))
 
 
+@query(f"WITH {_BOX} SELECT round_even(count(*) FILTER (id % 4 = 0) / count(*), 6) AS geometry_valid_ratio, count(*) FILTER (id % 4 <> 0) AS invalid_geometry_count FROM box")
+def geometry_validity(spark, sf_dir):
+    return features.validity(faulty(spark, sf_dir).select(F.array("ring").alias("rings")))
+
+
+_RIM = """{0}_rim AS (SELECT a.y, a.x FROM {0} a WHERE a.bit = 1 AND (a.y, a.x) IN (SELECT (b.y + s.dy, b.x + s.dx) FROM {0} b, (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) s(dy, dx) WHERE b.bit = 0)),
+{0}_near AS (SELECT DISTINCT r.y + s.dy AS y, r.x + s.dx AS x FROM {0}_rim r, (VALUES (0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)) s(dy, dx))"""
+
+
+@query(f"""WITH {PX}, {MASK}, t AS (SELECT y, x, (v >= 140)::INT AS bit FROM px), {_RIM.format('mask')}, {_RIM.format('t')},
+c AS (SELECT (SELECT count(*) FROM mask_rim SEMI JOIN t_near USING (y, x)) / (SELECT count(*) FROM mask_rim) AS p, (SELECT count(*) FROM t_rim SEMI JOIN mask_near USING (y, x)) / (SELECT count(*) FROM t_rim) AS r)
+SELECT round_even(2 * p * r / (p + r), 6) AS boundary_f1 FROM c""")
+def boundary_f1(spark, sf_dir):
+    return aggregates.boundary_f1(mask(spark, sf_dir), mask(spark, sf_dir, 140)).drop("raster_id")
+
+
 # Features and regions as sets
 
 
@@ -197,8 +213,6 @@ def adjacent_regions(spark, sf_dir):
 
 @query(f"WITH {PX} SELECT (y // 32)::INT AS ty, (x // 32)::INT AS tx, 'EPSG:4326' AS crs, count(*) AS n FROM px GROUP BY ALL")
 def tiles_with_layer(spark, sf_dir):
-    from .operators import aggregates
-
     pixels_ = emb(spark, sf_dir)
     layer = pixels_.select("raster_id").distinct().withColumn("crs", F.lit("EPSG:4326"))
     return features.with_layer(aggregates.tile_statistics(pixels_, 32), layer).select("ty", "tx", "crs", "n")

@@ -58,13 +58,13 @@ def auto_threshold(df: DataFrame) -> DataFrame:
 def quantize(df: DataFrame, max_colors: int = 8) -> DataFrame:
     """``label`` by frequency where there are at most ``max_colors`` values, else by ranges of values.
 
-    The palette has at most 256 rows for each raster and is broadcast.
+    The palette has at most 256 rows for each raster; its size decides how it is joined.
     """
     each = df.groupBy("raster_id", "v").agg(F.count("*").alias("n"), F.min(F.struct("y", "x")).alias("at"))
     kinds = F.count("*").over(Window.partitionBy("raster_id"))
     rank = F.row_number().over(Window.partitionBy("raster_id").orderBy(F.desc("n"), "at")) - 1
     palette = each.select("raster_id", "v", F.when(kinds <= max_colors, rank).otherwise(pixels.bucket_label(F.col("v"), max_colors)).cast("int").alias("label"))
-    return df.join(F.broadcast(palette), ["raster_id", "v"]).select("raster_id", "y", "x", "label")
+    return df.join(palette, ["raster_id", "v"]).select("raster_id", "y", "x", "label")
 
 
 def kmeans_1d(df: DataFrame, k: int = 8, iterations: int = 10) -> DataFrame:
@@ -83,7 +83,7 @@ def kmeans_1d(df: DataFrame, k: int = 8, iterations: int = 10) -> DataFrame:
     for _ in range(iterations):
         out = out.withColumn("c", F.array_sort(F.transform("c", centre)))
     palette = out.select("raster_id", F.explode("bins").alias("b"), "c").select("raster_id", "b.v", (near(F.col("b.v"), F.col("c")) - 1).cast("int").alias("label"))
-    return df.join(F.broadcast(palette), ["raster_id", "v"]).select("raster_id", "y", "x", "label")
+    return df.join(palette, ["raster_id", "v"]).select("raster_id", "y", "x", "label")
 
 
 def tile_statistics(df: DataFrame, tile: int) -> DataFrame:
@@ -101,3 +101,20 @@ def iou(a: DataFrame, b: DataFrame) -> DataFrame:
     s = both.groupBy("raster_id").agg(n(p & t).alias("intersection"), n(p | t).alias("union_n"), n(p).alias("predicted"), n(t).alias("truth"))
     ratio = lambda x, y: F.when(F.col(y) > 0, F.bround(F.col(x) / F.col(y), 6)).otherwise(0.0)
     return s.select("raster_id", "intersection", "union_n", ratio("intersection", "union_n").alias("iou"), ratio("intersection", "predicted").alias("precision"), ratio("intersection", "truth").alias("recall"))
+
+
+def boundary_f1(a: DataFrame, b: DataFrame, tolerance: int = 1) -> DataFrame:
+    """``boundary_f1`` of mask ``a`` against ``b`` (``bit``): a boundary pixel (1 beside a 0) is met if the other mask has one
+    within a round neighbourhood of ``tolerance``."""
+    from . import stencils
+
+    def edge(mask: DataFrame, name: str) -> DataFrame:
+        inner = stencils.erode_round(mask.select("raster_id", "y", "x", "bit", F.col("bit").alias("own")), 1)
+        rim = inner.select("raster_id", "y", "x", (F.col("own") - F.col("bit")).alias(name))
+        return stencils.dilate_round(rim.withColumn(f"{name}_near", F.col(name)), tolerance, f"{name}_near")
+
+    both = edge(a, "p").join(edge(b, "t"), ["raster_id", "y", "x"])
+    n = lambda *c: F.count_if(F.lit(True) if not c else F.col(c[0]) * F.col(c[1]) == 1)
+    s = both.groupBy("raster_id").agg(F.sum("p").alias("n_p"), F.sum("t").alias("n_t"), n("p", "t_near").alias("hit_p"), n("t", "p_near").alias("hit_t"))
+    precision, recall = F.col("hit_p") / F.nullif("n_p", F.lit(0)), F.col("hit_t") / F.nullif("n_t", F.lit(0))
+    return s.select("raster_id", F.bround(F.coalesce(2 * precision * recall / F.nullif(precision + recall, F.lit(0.0)), F.lit(0.0)), 6).alias("boundary_f1"))

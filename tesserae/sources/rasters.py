@@ -6,6 +6,7 @@ same pixels as bytes: ``raster_id, ty, tx, y_off, x_off, height, width, data``.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator, Mapping, Sequence
@@ -202,6 +203,9 @@ def _tiff(data: bytes) -> tuple[np.ndarray, dict]:
     return np.frombuffer(raw, np.uint8)[: width * height * bands].reshape(height, width, bands), meta
 
 
+_UNREAD = {b"\xff\xd8\xff": "JPEG", b"GIF8": "GIF", b"RIFF": "WEBP"}
+
+
 def decode(data: bytes) -> tuple[np.ndarray, dict]:
     """(height, width, bands) of a PGM, PPM, PNG, BMP or TIFF file, and its metadata."""
     if data[:2] in (b"P2", b"P3", b"P5", b"P6"):
@@ -212,19 +216,81 @@ def decode(data: bytes) -> tuple[np.ndarray, dict]:
         return _bmp(data), {}
     if data[:4] in (b"II*\0", b"MM\0*"):
         return _tiff(data)
+    for start, name in _UNREAD.items():
+        if data.startswith(start):
+            raise DependencyError(f"there is no decoder for {name} files")
     raise DependencyError("no decoder for this file")
 
 
-def read_tiles(spark: SparkSession, path: str, tile: int = TILE, max_pixels: int = 500_000_000) -> DataFrame:
-    """Files under ``path`` as grayscale tiles; a file is decoded in one task, and refused beyond ``max_pixels``."""
+def header(data: bytes) -> tuple[int, int, int]:
+    """Width, height and bands as a file's header states them, without decoding a pixel."""
+    if data[:2] in (b"P2", b"P3", b"P5", b"P6"):
+        numbers = re.sub(rb"#[^\n]*", b" ", data[2:4096]).split()[:2]
+        return int(numbers[0]), int(numbers[1]), 3 if data[1:2] in b"36" else 1
+    if data[:8] == b"\x89PNG\r\n\x1a\n":
+        width, height = struct.unpack(">II", data[16:24])
+        return width, height, {0: 1, 2: 3, 3: 3, 4: 2, 6: 4}.get(data[25], 1)
+    if data[:2] == b"BM":
+        width, height = struct.unpack("<ii", data[18:26])
+        return width, abs(height), 3
+    if data[:4] in (b"II*\0", b"MM\0*"):
+        e = "<" if data[:2] == b"II" else ">"
+        at = struct.unpack(e + "I", data[4:8])[0]
+        tags = {}
+        for i in range(struct.unpack(e + "H", data[at : at + 2])[0]):
+            tag, kind = struct.unpack(e + "HH", data[at + 2 + 12 * i : at + 6 + 12 * i])
+            if tag in (256, 257, 277):
+                tags[tag] = struct.unpack(e + ("H" if kind == 3 else "I"), data[at + 10 + 12 * i : at + 10 + 12 * i + (2 if kind == 3 else 4)])[0]
+        return tags[256], tags[257], tags.get(277, 1)
+    raise DependencyError("no header that is known")
+
+
+def preflight(data: bytes, name: str, max_pixels: int, max_bytes: int) -> None:
+    """Refuses a file by what its header states, before anything is inflated."""
+    try:
+        width, height, bands = header(data)
+    except (struct.error, KeyError, IndexError, ValueError) as error:
+        raise DependencyError(f"{name}: the header can't be read") from error
+    if width * height > max_pixels or width * height * bands > max_bytes:
+        raise ConfigurationError(f"{name}: {width} x {height} pixels of {bands} bands are more than {max_pixels} pixels or {max_bytes} bytes; reduce it by {max(1.0, (width * height / max_pixels) ** 0.5):.2f}")
+
+
+def probe(spark: SparkSession, path: str) -> DataFrame:
+    """``path, width, height, bands`` of the files under ``path``, from their headers; nulls where there is none that is known."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    rows.append((name, *header(bytes(content))))
+                except (DependencyError, struct.error, KeyError, IndexError, ValueError):
+                    rows.append((name, None, None, None))
+            yield pd.DataFrame(rows, columns=["path", "width", "height", "bands"]).astype({c: "Int32" for c in ("width", "height", "bands")})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, width int, height int, bands int")
+
+
+def _existing(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    if found is None or len(found) == 0:
+        raise ConfigurationError(f"there is no file {path}")
+
+
+def read_tiles(spark: SparkSession, path: str, tile: int = TILE, max_pixels: int = 500_000_000, max_bytes: int = 16 << 30) -> DataFrame:
+    """Files under ``path`` as grayscale tiles; a file is decoded in one task, and refused by its header beyond ``max_pixels`` or
+    ``max_bytes``. A path without files is a ``ConfigurationError``."""
+    _existing(spark, path)
     size = tile
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
-                image, _ = decode(bytes(content))
-                if image.shape[0] * image.shape[1] > max_pixels:
-                    raise ConfigurationError(f"{name} has more than {max_pixels} pixels")
+                data = bytes(content)
+                if not data.startswith(tuple(_UNREAD)):
+                    preflight(data, name, max_pixels, max_bytes)
+                image, _ = decode(data)
                 one = image[:, :, 0] if image.shape[2] == 1 else None
                 if one is None:
                     f = image.astype(np.float64)
