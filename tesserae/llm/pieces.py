@@ -21,6 +21,7 @@ would commit them again.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from array import array
@@ -82,6 +83,9 @@ def load(path: str = MODEL) -> Vocabulary:
     return vocabulary(normal, tuple(own[b] for b in range(256)) if len(own) == 256 else (), model.unk_id())
 
 
+_NOTHING = {}.get
+
+
 class Encoder:
     """Encodes with one vocabulary; remembers runs in two generations of at most ``remembered`` entries each."""
 
@@ -89,72 +93,91 @@ class Encoder:
         self.vocab, self.remembered = vocab, remembered
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.trie: list = [{}, None]  # what follows by character, and the piece that ends here
-        for piece, value in vocab.pieces.items():
-            node = self.trie
+        root: list = [{}, None, 0]  # what follows by character, and score and id of the piece that ends here
+        for piece, (number, score) in vocab.pieces.items():
+            node = root
             for c in piece:
-                node = node[0].setdefault(c, [{}, None])
-            node[1] = value
+                node = node[0].setdefault(c, [{}, None, 0])
+            node[1:] = score, number
+
+        def frozen(node: list) -> tuple:
+            return ({c: frozen(x) for c, x in node[0].items()}.get if node[0] else _NOTHING, node[1], node[2])
+
+        self.trie = frozen(root)  # nodes look up what follows by a bound method
 
     def fall_back(self, char: str) -> list[int]:
         return [self.vocab.byte_ids[b] for b in char.encode()] if self.vocab.byte_ids else [self.vocab.unknown]
 
     def search(self, marked: str, literal: frozenset[int] = frozenset()) -> array:
         """The ids of ``marked`` (spaces are marks already). ``literal``: places whose mark is the text's own."""
-        trie, missing, lag, n = self.trie[0], self.vocab.unknown_score, self.vocab.longest, len(marked)
-        out = array("i")
-        scores = [-1e300] * (lag + 1)  # of boundaries, in a ring: those before i - lag are out of the window
-        ring_from, ring_piece = [0] * (lag + 1), [0] * (lag + 1)
+        follow, missing, lag, n = self.trie[0], self.vocab.unknown_score, self.vocab.longest, len(marked)
+        out, size = array("i"), lag + 1
+        scores = [-1e300] * size  # of boundaries, in a ring: those before i - lag are out of the window
+        ring_from, ring_piece = [0] * size, [0] * size
         scores[0] = 0.0
-        origin, ids = array("q"), array("i")  # back pointers of boundaries from ``base`` on
-        kids, heir = array("i"), array("q")  # how many surviving boundaries lead back to one, and the sum of their places
+        origin, ids = [-1], [-1]  # back pointers of boundaries from ``base`` on
+        kids, heir = [], []  # how many surviving boundaries lead back to one, and the sum of their places
         base = done = 0  # all before done is committed
-        size = lag + 1
-        origin.append(-1), ids.append(-1), kids.append(0), heir.append(0)
 
         for i in range(n + 1):
             slot = i % size
             if i:
                 start = ring_from[slot]
-                origin.append(start), ids.append(ring_piece[slot]), kids.append(0), heir.append(0)
-                kids[start - base] += 1
-                heir[start - base] += i
-                old = i - lag
-                if old >= done and not kids[old - base]:  # the window has left it and nothing survives behind it
-                    while old > done:
-                        up = origin[old - base]
-                        kids[up - base] -= 1
-                        heir[up - base] -= old
-                        if kids[up - base] or up > i - lag:
-                            break
-                        old = up
-                while done <= i - lag and kids[done - base] == 1:
-                    after = heir[done - base]
-                    piece = ids[after - base]
-                    out.append(piece) if piece >= 0 else out.extend(self.fall_back(marked[done]))
-                    done = after
-                if done - base > 4096 and 2 * (done - base) > len(origin):
-                    for x in (origin, ids, kids, heir):
-                        del x[: done - base]
-                    base = done
+                origin.append(start)
+                ids.append(ring_piece[slot])
+                if i == lag:  # from here on the window leaves boundaries behind
+                    origin, ids = array("q", origin), array("i", ids)
+                    kids, heir = array("i", [0] * size), array("q", [0] * size)
+                    for b in range(1, size):
+                        kids[origin[b]] += 1
+                        heir[origin[b]] += b
+                elif i > lag:
+                    kids.append(0)
+                    heir.append(0)
+                    kids[start - base] += 1
+                    heir[start - base] += i
+                if i >= lag:
+                    old = i - lag
+                    if old > done and not kids[old - base]:  # the window has left it and nothing survives behind it
+                        while old > done:
+                            up = origin[old - base]
+                            kids[up - base] -= 1
+                            heir[up - base] -= old
+                            if kids[up - base] or up > i - lag:
+                                break
+                            old = up
+                    while done <= i - lag and kids[done - base] == 1:
+                        after = heir[done - base]
+                        piece = ids[after - base]
+                        out.append(piece) if piece >= 0 else out.extend(self.fall_back(marked[done]))
+                        done = after
+                    if done - base > 4096 and 2 * (done - base) > len(origin):
+                        for x in (origin, ids, kids, heir):
+                            del x[: done - base]
+                        base = done
             if i == n:
                 break
-            here, follow, j = scores[slot], trie, i
+            here = scores[slot]
             scores[slot] = -1e300
-            node = None if i in literal else follow.get(marked[i])
+            node = follow(marked[i]) if not literal or i not in literal else None
             if node is None or node[1] is None:
                 to = (i + 1) % size
                 if here + missing > scores[to]:
                     scores[to], ring_from[to], ring_piece[to] = here + missing, i, -1
+            j = i
             while node is not None:
                 j += 1
-                if (value := node[1]) is not None:
+                follows, score, number = node
+                if score is not None:
                     to = j % size
-                    if (score := here + value[1]) > scores[to]:
-                        scores[to], ring_from[to], ring_piece[to] = score, i, value[0]
-                if j == n or j in literal:
+                    score += here
+                    if score > scores[to]:
+                        scores[to] = score
+                        ring_from[to] = i
+                        ring_piece[to] = number
+                if j == n or literal and j in literal:
                     break
-                node = node[0].get(marked[j])
+                node = follows(marked[j])
         last, at = [], n
         while at > done:
             last.append(at)
@@ -235,6 +258,7 @@ def _encoder(shared, key: str) -> Encoder:
     if key not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[key] = Encoder(shared.value)
+        gc.freeze()  # the trie lives as long as the worker: no collection walks it
     return _ENCODERS[key]
 
 
