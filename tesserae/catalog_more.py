@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .catalog import HI, LABELS, MASK, PX, boxes, emb, history, labels, mask, query, short_lines
 from .functions import geometry as G
 from .functions import pixels, text
-from .operators import aggregates, evaluation, features, lines, state, stencils
+from .operators import aggregates, evaluation, features, lines, regions, state, stencils
 from .sources import rasters
 
 # Neighbourhoods
@@ -218,6 +218,21 @@ def tiles_with_layer(spark, sf_dir):
     return features.with_layer(aggregates.tile_statistics(pixels_, 32), layer).select("ty", "tx", "crs", "n")
 
 
+@query(f"""WITH {PX}, {LABELS}, u AS (SELECT label, count(*) AS area FROM labels_ GROUP BY label) SELECT label::VARCHAR AS class_id, area::VARCHAR AS pixel_area, true AS closed, area::DOUBLE AS ring_area FROM u""")
+def dissolved_classes(spark, sf_dir):
+    """Component polygons of each class as one feature, whose signed ring areas sum to its pixels."""
+    found = regions.polygonize(regions.label_components(labels(spark, sf_dir), 4))
+    ring = F.create_map(F.lit("class_id"), F.col("label").cast("string"), F.lit("pixel_area"), F.col("area").cast("string"))
+    polygons = found.select("raster_id", F.col("component").alias("feature_index"), F.lit("Polygon").alias("geometry_type"), F.array("rings").alias("parts"), ring.alias("properties"))
+    done = features.dissolve(polygons)
+    all_rings = F.flatten("parts")
+    area = F.aggregate(all_rings, F.lit(0.0), lambda s, r: s + G.signed_area(r))
+    return done.select(
+        F.element_at("properties", "class_id").alias("class_id"), F.element_at("properties", "pixel_area").alias("pixel_area"),
+        F.forall(all_rings, G.is_closed).alias("closed"), area.alias("ring_area"),
+    )
+
+
 @query("""WITH e AS (SELECT s_suppkey AS id, s_suppkey % 20 AS x, s_suppkey % 7 AS y FROM supplier UNION ALL SELECT s_suppkey, (s_suppkey + 1) % 20, (s_suppkey * 3) % 7 FROM supplier),
 j AS (SELECT x, y FROM e GROUP BY x, y HAVING count(DISTINCT id) >= 2), c AS (SELECT id, count(DISTINCT (x, y)) AS n FROM e JOIN j USING (x, y) GROUP BY id)
 SELECT s_suppkey AS id, coalesce(n, 0) AS junction_connections FROM supplier LEFT JOIN c ON id = s_suppkey""")

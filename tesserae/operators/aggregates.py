@@ -25,8 +25,8 @@ def dominant(df: DataFrame, value: str = "v") -> DataFrame:
     return each.groupBy("raster_id").agg(F.max_by("v", key).alias("v"), F.max("n").alias("n"))
 
 
-def otsu(df: DataFrame) -> DataFrame:
-    """``threshold`` with the first greatest variance between classes; 0 for a constant raster."""
+def _splits(df: DataFrame) -> DataFrame:
+    """For each value of the histogram the pixels at or below it (``wb``), all (``w``), and the variance ``between`` both sides."""
     bins = histogram(df)
     upto = _bins().rowsBetween(Window.unboundedPreceding, 0)
     all_ = Window.partitionBy("raster_id")
@@ -38,21 +38,29 @@ def otsu(df: DataFrame) -> DataFrame:
         .withColumn("wf", F.col("w") - F.col("wb"))
     )
     gap = F.col("sb") / F.col("wb") - (F.col("s") - F.col("sb")) / F.col("wf")
-    at = at.withColumn("between", F.when(F.col("wf") > 0, F.col("wb") * F.col("wf") * gap * gap).otherwise(F.lit(0.0)))
-    best = at.groupBy("raster_id").agg(F.max_by("v", F.struct("between", -F.col("v"))).alias("v"), F.max("between").alias("between"))
-    return best.select("raster_id", F.when(F.col("between") > 0, F.col("v")).otherwise(0).cast("int").alias("threshold"))
+    return at.withColumn("between", F.when(F.col("wf") > 0, F.col("wb") * F.col("wf") * gap * gap).otherwise(F.lit(0.0)))
+
+
+def _thresholds(df: DataFrame) -> DataFrame:
+    """``otsu, median`` of each raster from one histogram."""
+    best = F.when(F.max("between") > 0, F.max_by("v", F.struct("between", -F.col("v")))).otherwise(0)
+    middle = F.min(F.when(F.col("wb") > F.floor(F.col("w") / 2), F.col("v")))
+    return _splits(df).groupBy("raster_id").agg(best.cast("int").alias("otsu"), middle.cast("int").alias("median"))
+
+
+def otsu(df: DataFrame) -> DataFrame:
+    """``threshold`` with the first greatest variance between classes; 0 for a constant raster."""
+    return _thresholds(df).select("raster_id", F.col("otsu").alias("threshold"))
 
 
 def upper_median(df: DataFrame) -> DataFrame:
     """``threshold``: the smallest value with more than half of the pixels (rounded down) at or below it."""
-    bins = histogram(df).withColumn("c", F.sum("n").over(_bins())).withColumn("total", F.sum("n").over(Window.partitionBy("raster_id")))
-    return bins.filter(F.col("c") > F.expr("total div 2")).groupBy("raster_id").agg(F.min("v").cast("int").alias("threshold"))
+    return _thresholds(df).select("raster_id", F.col("median").alias("threshold"))
 
 
 def auto_threshold(df: DataFrame) -> DataFrame:
     """Otsu's threshold, or the upper median where that is 0."""
-    both = otsu(df).join(upper_median(df).withColumnRenamed("threshold", "other"), "raster_id")
-    return both.select("raster_id", F.when(F.col("threshold") != 0, F.col("threshold")).otherwise(F.col("other")).alias("threshold"))
+    return _thresholds(df).select("raster_id", F.when(F.col("otsu") != 0, F.col("otsu")).otherwise(F.col("median")).alias("threshold"))
 
 
 def quantize(df: DataFrame, max_colors: int = 8) -> DataFrame:

@@ -171,7 +171,7 @@ def test_profiles():
     assert len(profiles.tile_plan(4, 4, 2)) == 4
 
 
-@pytest.mark.parametrize("mode, key, value", [("regional", "dissolve_adjacent", True), ("regional", "background_policy", "border"), ("edge", "edge_to_polygon", True), ("linear", "extract_topology", True)])
+@pytest.mark.parametrize("mode, key, value", [("regional", "background_policy", "border"), ("edge", "edge_to_polygon", True), ("linear", "extract_topology", True)])
 def test_unbuilt_parameters_are_refused(mode, key, value):
     with pytest.raises(ConfigurationError):
         profiles.resolve(mode, {key: value})

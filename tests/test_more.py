@@ -11,7 +11,7 @@ from tesserae.errors import ConfigurationError, DependencyError
 from tesserae.functions import geometry as G
 from tesserae.functions import text
 from tesserae.operators import evaluation, stencils
-from tesserae.plans import engines, profiles, vectorize
+from tesserae.plans import engines, jobs, profiles, vectorize
 from tesserae.sources import rasters, state_tables
 
 BASELINE = {"schema_version": 1, "baseline_name": "b", "profile": "regional", "dataset_id": "d", "metrics": {"recall": {"direction": "ge", "threshold": "0.9"}, "n": {"direction": "less_equal", "threshold": 3}}}
@@ -147,3 +147,28 @@ def test_names_and_numbers_in_odd_cases(spark):
     assert (row.ten, row.same, row.none, row.name, row.quoted, row.nan, row.stem, row.hidden, row.line) == (True, False, False, "é_ü_ 1-2_3", '"a\\"\\n"', None, "x.y", ".hidden", False)
     p = spark.range(1).select(G.probe(F.array(*(G.point(x, y) for x, y in ((0, 0), (4, 0), (4, 4), (0, 4))))).alias("p"), G.drop_collinear_ring(F.array(G.point(0, 0), G.point(1, 0), G.point(2, 0))).alias("flat")).first()
     assert tuple(p.p) == (2, 2) and len(p.flat) == 3
+
+
+def test_dissolve_is_built(spark):
+    picture = [[0, 0, 9, 0, 0]] * 3
+    done = vectorize.run(rasters.read_raster(spark, picture), "regional", {"drop_background": False, "simplify_tolerance": 0, "min_region_area": 1, "min_hole_area": 1, "dissolve_adjacent": True}).features.collect()
+    assert sorted((r.geometry_type, len(r.parts), r.properties["pixel_area"], r.properties["dissolved"]) for r in done) == [("MultiPolygon", 2, "12", "true"), ("Polygon", 1, "3", "true")]
+
+
+def test_batches_and_tasks(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.pgm").write_bytes(b"P5 8 8 255\n" + bytes([10] * 32 + [200] * 32))
+    (tmp_path / "bad.pgm").write_bytes(b"not a picture")
+    paths = [str(tmp_path / n) for n in ("a.pgm", "bad.pgm", "b.pgm")]
+    shares = []
+    done = jobs.batch(spark, paths, str(tmp_path), told=lambda share, _: shares.append(share)).collect()
+    assert [(r.status, r.feature_count) for r in done] == [("success", 1), ("failed", 0), ("success", 1)] and shares[-1] == 1
+    assert json.loads((tmp_path / "b_vectorized.geojson").read_text())["type"] == "FeatureCollection"
+    assert [r.status for r in jobs.batch(spark, paths, str(tmp_path), stop_on_error=True).collect()] == ["success", "failed", "cancelled"]
+    task = jobs.Task(spark, lambda token: spark.range(10).count()).start()
+    assert task.wait(60) == "success" and task.result == 10
+    stopped = jobs.Task(spark, lambda token: 1)
+    stopped.cancel()
+    assert stopped.start().wait(60) == "cancelled"
+    wrong = jobs.Task(spark, lambda token: 1 / 0).start()
+    assert wrong.wait(60) == "failed" and isinstance(wrong.error, ZeroDivisionError)
