@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 SQL: dict[str, str] = {
     "op2_chat_formatting": chat.OP2_SQL,
+    "op5_suffix_dedup": substrings.OP5_SQL,
     "op7_warc": archives.OP7_SQL,
     "op9_ngram_jaccard": jaccard.OP9_SQL,
     "op10_source_mixing": mixing.OP10_SQL,

@@ -330,3 +330,18 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated 50-byte strings removed from all ``documents``."""
     done = remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+OP5_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+s AS MATERIALIZED (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50)),
+own AS (SELECT g, min(doc_id) AS lowest FROM s GROUP BY g HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT s.doc_id, s.i, lag(s.i) OVER (PARTITION BY s.doc_id ORDER BY s.i) AS earlier FROM s JOIN own ON own.g = s.g WHERE own.lowest < s.doc_id),
+run AS (SELECT doc_id, k, min(i) AS a, max(i) + 50 AS b FROM (
+  SELECT doc_id, i, sum((earlier IS NULL OR i > earlier + 50)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM hit) GROUP BY doc_id, k),
+cut AS (SELECT run.doc_id, a, b, h, coalesce(lag(b) OVER (PARTITION BY run.doc_id ORDER BY a), 0) AS since FROM run JOIN d ON d.doc_id = run.doc_id),
+kept AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans,
+  string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS rest FROM cut GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
