@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 from .rolling import slices
 
 RATE, UNIT = 8000, 64
@@ -143,6 +143,7 @@ def read_media(df: DataFrame) -> DataFrame:
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents`` stored, read back and fingerprinted; ``feature`` digests the time-coded array ``fingerprint``."""
+    small_batches(spark)
     done = read_media(write_media(table(spark, sf_dir, "documents")))
     feature = F.concat_ws(":", F.lit("pairs"), F.size("fingerprint"), F.sha2(F.array_join("fingerprint", ","), 256))
     return done.select(
