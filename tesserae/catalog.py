@@ -577,7 +577,7 @@ def raster_paths(spark, sf_dir):
 # Plans, sinks and streams
 
 
-@query("""WITH s AS (SELECT max(vec_id) + 1 AS h, 64 AS w FROM embeddings), t AS (SELECT i // 1 AS i, h, w FROM s, range(100000) r(i) WHERE i < ceil(h / 48.0) * 2)
+@query("""WITH s AS (SELECT max(vec_id) + 1 AS h, 64 AS w FROM embeddings), t AS (SELECT unnest(range(0, (ceil(h / 48.0) * 2)::BIGINT)) AS i, h, w FROM s)
 SELECT i AS tile, (i % 2) * 48 AS x, (i // 2) * 48 AS y, least(48, w - (i % 2) * 48) AS width, least(48, h - (i // 2) * 48) AS height FROM t""")
 def tile_plan(spark, sf_dir):
     size = rasters.table(spark, sf_dir, "embeddings").agg(F.max("vec_id").alias("y")).first()
